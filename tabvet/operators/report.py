@@ -25,8 +25,8 @@ def validity_summary(result: DataFrame) -> DataFrame:
 
 def error_report(result: DataFrame) -> DataFrame:
     """One row per error with its field, type, message and stripped value."""
-    return (result.where(~F.col("valid"))
-                  .select("row_number", "code", F.explode("errors").alias("e"))
+    # exploding an empty array yields nothing, so valid rows drop out by themselves
+    return (result.select("row_number", "code", F.explode("errors").alias("e"))
                   .select("row_number", "code", F.col("e.seq").alias("seq"),
                           F.col("e.field").alias("field_name"),
                           F.col("e.error_type").alias("error_type"),
@@ -35,23 +35,23 @@ def error_report(result: DataFrame) -> DataFrame:
 
 
 def error_counts(result: DataFrame) -> DataFrame:
-    """A10: ``label, n, first_row, first_seq``; the label is the profile's count key.
+    """A10: ``label, n, first_row, first_pos``; the label is the profile's count key.
 
-    ``(first_row, first_seq)`` is where the label was first met, which orders
-    ties the way an insertion-ordered counter does (T1).
+    ``(first_row, first_pos)`` is where the label was first met (row, then the
+    error's position in the row), which orders ties the way an insertion-ordered
+    counter does (T1).
     """
-    return (result.where(~F.col("valid"))
-                  .select("row_number", F.explode("errors").alias("e"))
+    return (result.select("row_number", F.posexplode("errors").alias("pos", "e"))
                   .groupBy(F.col("e.label").alias("label"))
                   .agg(F.count(F.lit(1)).alias("n"),
-                       F.min(F.struct(F.col("row_number"), F.col("e.seq"))).alias("first")))\
+                       F.min(F.struct("row_number", "pos")).alias("first"))
                   .select("label", "n", F.col("first.row_number").alias("first_row"),
-                          F.col("first.seq").cast("bigint").alias("first_seq"))
+                          F.col("first.pos").cast("bigint").alias("first_pos")))
 
 
 def error_counts_sorted(result: DataFrame) -> DataFrame:
     """Error counts, highest first, ties in first-seen order."""
-    return error_counts(result).orderBy(F.desc("n"), "first_row", "first_seq")
+    return error_counts(result).orderBy(F.desc("n"), "first_row", "first_pos")
 
 
 def invalid_rows(result: DataFrame, n: int = 100) -> DataFrame:
@@ -100,8 +100,7 @@ def parse_error_strings(errors: DataFrame, column: str = "error") -> DataFrame:
 
 def error_report_parsed(result: DataFrame) -> DataFrame:
     """R3 over a validation result: rendered messages of invalid rows, re-parsed."""
-    msgs = (result.where(~F.col("valid"))
-                  .select("row_number", "code", F.posexplode("errors").alias("pos", "e"))
+    msgs = (result.select("row_number", "code", F.posexplode("errors").alias("pos", "e"))
                   .select("row_number", "code", F.col("pos").cast("bigint").alias("pos"),
                           F.col("e.message").alias("error")))
     return parse_error_strings(msgs, "error")

@@ -24,6 +24,10 @@ ERROR_TYPE = ("struct<seq:int,field:string,error_type:string,label:string,"
               "message:string,value:string>")
 PROFILES = ("row", "bulk")
 
+
+def empty_errors() -> Column:
+    return F.array().cast(f"array<{ERROR_TYPE}>")
+
 SEQ_DUPLICATES = 0      # 0..3: the four duplicate keys (row profile)
 SEQ_FIELDS = 10         # 10 + 2*pos (+1 for the second name error)
 SEQ_CROSS = 100_000     # cross-field rules, after every column
@@ -31,11 +35,15 @@ SEQ_CROSS = 100_000     # cross-field rules, after every column
 
 def _error(seq: int, field: str | Column, error_type: Column, label: Column, message: Column,
            value: Column) -> Column:
-    """Error struct when ``error_type`` is not NULL, else NULL."""
+    """A one-element array holding the error when ``error_type`` is set, else empty.
+
+    Concatenating these (instead of filtering NULLs out of one array with a
+    higher-order function) keeps the projection inside whole-stage codegen.
+    """
     f = F.lit(field) if isinstance(field, str) else field
-    return F.when(error_type.isNotNull(), F.struct(
+    return F.when(error_type.isNotNull(), F.array(F.struct(
         F.lit(seq).alias("seq"), f.alias("field"), error_type.alias("error_type"),
-        label.alias("label"), message.alias("message"), value.alias("value")))
+        label.alias("label"), message.alias("message"), value.alias("value")))).otherwise(empty_errors())
 
 
 def _head(spec: str | None, column: str) -> str | None:
@@ -59,90 +67,109 @@ def code_column(ctx: R.RowContext) -> Column:
     return ctx.raw("code") if ctx.has("code") else F.lit("N/A")
 
 
-def _field_errors(column: str, pos: int, ruleset: RS.RuleSet, profile: str,
-                  ctx: R.RowContext, code: Column) -> list[Column]:
-    raw = cell(F.col(f"`{column}`"))
-    s = pystrip(raw)
-    seq = SEQ_FIELDS + 2 * pos
+def _rule_for(column: str, ruleset: RS.RuleSet):
+    """(rule type, check, rendering) for a column, overrides applied."""
     rule_type = R.rule_type_of(column)
-    out: list[Column] = []
-
-    # V1 / V2: the blank test comes first and ends the column's checks
-    depends = ruleset.conditional_required.get(rule_type or "")
-    if depends is not None:
-        dep_upper = F.upper(pystrip(ctx.raw(depends)))
-        msg = F.when((s == F.lit("")) & (dep_upper == F.lit("ES")),
-                     F.lit(R.MSG_REQUIRED_ES.format(column)))
-    else:
-        msg = F.when(s == F.lit(""), F.lit(R.MSG_REQUIRED.format(column)))
-    out.append(_error(seq, column, msg, msg, F.concat(code, F.lit(" "), msg), F.lit("")))
+    override = RS.get_rule(ruleset.code, (rule_type or column).lower())
     if rule_type is None:
-        return out
-
-    override = RS.get_rule(ruleset.code, rule_type)
+        if override is None or override.kind != "field":
+            return None, None, None
+        return column.lower(), override.builder, CUSTOM_RENDERING
     check, rendering = R.FIELD_RULES[rule_type]
     if override is not None and override.kind == "field":
         check = override.builder
-    e = F.when(s != F.lit(""), check(s, raw, ctx))
+    return rule_type, check, rendering
 
-    if profile == "row":
-        if rendering.row_text is not None:
-            body = F.lit(rendering.row_text)
-        else:
-            body = _quoted_value(e, s) if rendering.row_value else e
-            body = _prefixed(_head(rendering.row_head, column), body)
-        label = _prefixed(_head(rendering.label_head, column), e)
-    else:
-        inner = _prefixed(_head(rendering.bulk_head, column), e)
-        body = F.concat(F.lit(column + ": "), _quoted_value(inner, s))
-        label = None
-    message = F.concat(code, F.lit(" "), body)
-    out.append(_error(seq, column, e, label if label is not None else message, message, s))
-
-    second = R.ROW_SECOND_CHECK.get(rule_type) if profile == "row" else None
-    if second is not None:
-        e2 = F.when(s != F.lit(""), second(s, raw, ctx))
-        body2 = _prefixed(_head(rendering.row_head, column), _quoted_value(e2, s))
-        out.append(_error(seq + 1, column, e2, e2, F.concat(code, F.lit(" "), body2), s))
-    return out
-
-
-def _cross_errors(ruleset: RS.RuleSet, profile: str, ctx: R.RowContext, code: Column) -> list[Column]:
-    checks: list[tuple[str, Column]] = [
-        ("address/city", R.address_city_error(ctx)),
-        ("languagecode/countrycode", R.language_country_error(ctx)),
-    ]
-    for name, entry in RS.row_rules(ruleset.code):
-        checks.append((name, entry.builder(ctx)))
-    out = []
-    for k, (name, e) in enumerate(checks):
-        message = F.concat(code, F.lit(" "), e)
-        out.append(_error(SEQ_CROSS + k, name, e, e if profile == "row" else message, message,
-                          F.lit("")))
-    return out
+
+# how a registered rule for a column without a built-in rule is written
+CUSTOM_RENDERING = R.Rendering(R.FIELD, True, R.FIELD, None)
 
 
 def check_rows(df: DataFrame, ruleset: RS.RuleSet, profile: str = "row",
                as_of: str = "2025-01-01", row_number: str = "row_number") -> DataFrame:
-    """Field and cross-field rules in one narrow projection.
+    """Field and cross-field rules as narrow projections (no shuffle).
 
-    Returns ``row_number, code, errors`` (errors without the duplicate checks).
+    Returns ``row_number, code, valid, errors`` (without the duplicate checks).
     Columns are checked in the frame's column order when their name is in the
-    rule set's required list (case-folded, P9).
+    rule set's required list (case-folded, P9).  The work is staged in three
+    projections -- stripped cells, rule messages, error structs -- so every
+    rule expression is evaluated once even though several struct fields use it.
     """
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}")
-    ctx = R.RowContext(df.columns, F.lit(as_of).cast("date"))
-    code = code_column(ctx)
     required = {f.lower() for f in ruleset.required}
+    checked = [(pos, c) for pos, c in enumerate(df.columns)
+               if c != row_number and c.lower() in required]
+
+    # stage 1: stripped cells
+    ctx0 = R.RowContext(df.columns, F.lit(as_of).cast("date"))
+    code = code_column(ctx0)
+    stage1 = df.select(F.col(row_number).alias("__rn"), code.alias("__code"), "*",
+                       *[pystrip(cell(F.col(f"`{c}`"))).alias(f"__s{pos}") for pos, c in checked])
+
+    # stage 2: one message column per (column, rule); NULL when the value passes
+    ctx = R.RowContext(df.columns, F.lit(as_of).cast("date"))
+    msgs, plan = [], []
+    for pos, c in checked:
+        s, raw = F.col(f"__s{pos}"), cell(F.col(f"`{c}`"))
+        rule_type, check, rendering = _rule_for(c, ruleset)
+        depends = ruleset.conditional_required.get(rule_type or "")
+        if depends is not None:
+            dep_upper = F.upper(pystrip(ctx.raw(depends)))
+            req = F.when((s == F.lit("")) & (dep_upper == F.lit("ES")), F.lit(R.MSG_REQUIRED_ES.format(c)))
+        else:
+            req = F.when(s == F.lit(""), F.lit(R.MSG_REQUIRED.format(c)))
+        msgs.append(req.alias(f"__q{pos}"))
+        if check is not None:
+            msgs.append(F.when(s != F.lit(""), check(s, raw, ctx)).alias(f"__e{pos}"))
+            second = R.ROW_SECOND_CHECK.get(rule_type) if profile == "row" else None
+            if second is not None:
+                msgs.append(F.when(s != F.lit(""), second(s, raw, ctx)).alias(f"__f{pos}"))
+        plan.append((pos, c, rule_type, check, rendering))
+    cross = [("address/city", R.address_city_error(ctx)),
+             ("languagecode/countrycode", R.language_country_error(ctx))]
+    cross += [(name, entry.builder(ctx)) for name, entry in RS.row_rules(ruleset.code)]
+    msgs += [e.alias(f"__x{k}") for k, (_, e) in enumerate(cross)]
+    stage2 = stage1.select("__rn", "__code", *[f"__s{pos}" for pos, _ in checked], *msgs)
+
+    # stage 3: error structs, rendered for the profile
+    code = F.col("__code")
     items: list[Column] = []
-    for pos, column in enumerate(df.columns):
-        if column == row_number or column.lower() not in required:
+    for pos, c, rule_type, check, rendering in plan:
+        seq = SEQ_FIELDS + 2 * pos
+        s, q = F.col(f"__s{pos}"), F.col(f"__q{pos}")
+        items.append(_error(seq, c, q, q, F.concat(code, F.lit(" "), q), F.lit("")))
+        if check is None:
             continue
-        items.extend(_field_errors(column, pos, ruleset, profile, ctx, code))
-    items.extend(_cross_errors(ruleset, profile, ctx, code))
-    errors = F.array_compact(F.array(*items)) if items else F.array().cast(f"array<{ERROR_TYPE}>")
-    return df.select(F.col(row_number).alias("row_number"), code.alias("code"), errors.alias("errors"))
+        e = F.col(f"__e{pos}")
+        if profile == "row":
+            if rendering.row_text is not None:
+                body = F.lit(rendering.row_text)
+            else:
+                body = _quoted_value(e, s) if rendering.row_value else e
+                body = _prefixed(_head(rendering.row_head, c), body)
+            message = F.concat(code, F.lit(" "), body)
+            label = _prefixed(_head(rendering.label_head, c), e)
+        else:
+            inner = _prefixed(_head(rendering.bulk_head, c), e)
+            message = F.concat(code, F.lit(" "), F.lit(c + ": "), _quoted_value(inner, s))
+            label = message
+        items.append(_error(seq, c, e, label, message, s))
+        if profile == "row" and R.ROW_SECOND_CHECK.get(rule_type) is not None:
+            e2 = F.col(f"__f{pos}")
+            body2 = _prefixed(_head(rendering.row_head, c), _quoted_value(e2, s))
+            items.append(_error(seq + 1, c, e2, e2, F.concat(code, F.lit(" "), body2), s))
+    for k, (name, _) in enumerate(cross):
+        e = F.col(f"__x{k}")
+        message = F.concat(code, F.lit(" "), e)
+        items.append(_error(SEQ_CROSS + k, name, e, e if profile == "row" else message, message, F.lit("")))
+    errors = F.concat(*items)
+    # validity from the message columns, not from the array: a filter on it
+    # stays small when Catalyst pushes it below the projections
+    message_cols = [c for c in stage2.columns if c[:3] in ("__q", "__e", "__f", "__x")]
+    valid = F.coalesce(*[F.col(c) for c in message_cols]).isNull() if message_cols else F.lit(True)
+    return stage2.select(F.col("__rn").alias("row_number"), code.alias("code"), valid.alias("valid"),
+                         errors.alias("errors"))
 
 
 def validate(df: DataFrame, ruleset: RS.RuleSet | str | None = None, profile: str = "row",
@@ -164,9 +191,10 @@ def validate(df: DataFrame, ruleset: RS.RuleSet | str | None = None, profile: st
                 .agg(F.collect_list("error").alias("dup_errors")))   # at most 4 per row
         checked = (checked.join(dups, "row_number", "left")
                    .select("row_number", "code",
-                           F.array_sort(F.concat(F.coalesce("dup_errors", F.array().cast(f"array<{ERROR_TYPE}>")),
+                           (F.col("valid") & F.col("dup_errors").isNull()).alias("valid"),
+                           F.sort_array(F.concat(F.coalesce("dup_errors", empty_errors()),
                                                  F.col("errors"))).alias("errors")))
-    return checked.select("row_number", "code", (F.size("errors") == 0).alias("valid"), "errors")
+    return checked.select("row_number", "code", "valid", "errors")
 
 
 def render(result: DataFrame, sep: str = " | ") -> DataFrame:
@@ -174,4 +202,4 @@ def render(result: DataFrame, sep: str = " | ") -> DataFrame:
     return result.select(
         "row_number", "code", "valid",
         F.size("errors").cast("bigint").alias("n_errors"),
-        F.array_join(F.transform("errors", lambda e: e["message"]), sep).alias("errors"))
+        F.array_join(F.col("errors.message"), sep).alias("errors"))
