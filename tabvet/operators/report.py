@@ -34,19 +34,24 @@ def error_report(result: DataFrame) -> DataFrame:
                           F.col("e.value").alias("invalid_value")))
 
 
+POS_BITS = 20  # an error's position inside its row stays below 2**20
+
+
 def error_counts(result: DataFrame) -> DataFrame:
     """A10: ``label, n, first_row, first_pos``; the label is the profile's count key.
 
     ``(first_row, first_pos)`` is where the label was first met (row, then the
     error's position in the row), which orders ties the way an insertion-ordered
-    counter does (T1).
+    counter does (T1).  Both are packed into one long so the aggregate stays a
+    hash aggregate with partial (map-side) combining.
     """
-    return (result.select("row_number", F.posexplode("errors").alias("pos", "e"))
-                  .groupBy(F.col("e.label").alias("label"))
-                  .agg(F.count(F.lit(1)).alias("n"),
-                       F.min(F.struct("row_number", "pos")).alias("first"))
-                  .select("label", "n", F.col("first.row_number").alias("first_row"),
-                          F.col("first.pos").cast("bigint").alias("first_pos")))
+    first_key = F.shiftleft(F.col("row_number"), POS_BITS) + F.col("pos")
+    return (result.select("row_number", F.posexplode(F.col("errors.label")).alias("pos", "label"))
+                  .groupBy("label")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min(first_key).alias("first"))
+                  .select("label", "n", F.shiftright("first", POS_BITS).alias("first_row"),
+                          (F.col("first") - F.shiftleft(F.shiftright("first", POS_BITS), POS_BITS))
+                          .cast("bigint").alias("first_pos")))
 
 
 def error_counts_sorted(result: DataFrame) -> DataFrame:

@@ -203,3 +203,23 @@ def render(result: DataFrame, sep: str = " | ") -> DataFrame:
         "row_number", "code", "valid",
         F.size("errors").cast("bigint").alias("n_errors"),
         F.array_join(F.col("errors.message"), sep).alias("errors"))
+
+
+def enhance_with_value(df: DataFrame, columns: list[str], as_of: str = "2025-01-01",
+                       regulation: str | None = None) -> DataFrame:
+    """R2 on its own: ``row_number, field, enhanced`` (``{error}: '{value}'``) per failing cell."""
+    ruleset = RS.get_ruleset(regulation)
+    ctx = R.RowContext(df.columns, F.lit(as_of).cast("date"))
+    items = []
+    for c in columns:
+        rule_type, check, _ = _rule_for(c, ruleset)
+        if check is None:
+            continue
+        raw = cell(F.col(f"`{c}`"))
+        s = pystrip(raw)
+        e = F.when(s != F.lit(""), check(s, raw, ctx))
+        items.append(F.when(e.isNotNull(), F.array(F.struct(F.lit(c).alias("field"),
+                                                              _quoted_value(e, s).alias("enhanced"))))
+                     .otherwise(F.array().cast("array<struct<field:string,enhanced:string>>")))
+    return (df.select("row_number", F.explode(F.concat(*items)).alias("x"))
+              .select("row_number", "x.field", "x.enhanced"))
