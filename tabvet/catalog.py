@@ -395,3 +395,174 @@ def _row_numbering(spark, sf):
 
 register("row_numbering", _row_numbering,
          "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS row_number FROM lineitem")
+
+
+# ---------------------------------------------------------------- S1-S12
+from .session import scratch_path  # noqa: E402
+from .sources import csv as CSV  # noqa: E402
+from .sources import dialect as DI  # noqa: E402
+from .sources import sinks as SK  # noqa: E402
+
+_ACC_SQL = f"WITH accounts AS ({fx.ACCOUNTS_SQL})"
+
+
+def _write_accounts_csv(spark, sf, encoding="UTF-8", columns=None) -> str:
+    acc = fx.accounts(spark, sf)
+    if columns:
+        acc = acc.select(*columns)
+    path = scratch_path(spark, "accounts-csv")
+    (acc.write.option("header", True).option("escape", '"').option("encoding", encoding)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def _roundtrip(spark, sf) -> DataFrame:
+    df = CSV.read_delimited(spark, _write_accounts_csv(spark, sf), multi_line=True)
+    return df.withColumn("row_number", F.col("row_number").cast("bigint"))
+
+
+register("scan_csv_roundtrip", _roundtrip, f"{_ACC_SQL} SELECT * FROM accounts")
+
+_RAGGED_COLS = ["row_number", "code", "firstname", "username", "zip", "gender"]
+
+
+def _ragged(spark, sf):
+    acc = fx.accounts(spark, sf)
+    full = [F.col(c).cast("string") for c in _RAGGED_COLS]
+    # defects planted by row: every tenth row loses its last three cells, the
+    # next one carries an extra cell
+    line = (F.when(F.col("row_number") % 10 == 0, F.concat_ws(",", *full[:3]))
+             .when(F.col("row_number") % 10 == 1, F.concat_ws(",", *full, F.lit("EXTRA")))
+             .otherwise(F.concat_ws(",", *full)))
+    path = scratch_path(spark, "ragged")
+    acc.select(line.alias("value")).write.text(path)
+    df = CSV.read_delimited(spark, path, columns=_RAGGED_COLS, header=False, glob=None)
+    return df.withColumn("row_number", F.col("row_number").cast("bigint"))
+
+
+register("scan_csv_ragged", _ragged,
+         f"{_ACC_SQL} SELECT row_number, code, firstname, "
+         f"CASE WHEN row_number % 10 = 0 THEN '' ELSE username END AS username, "
+         f"CASE WHEN row_number % 10 = 0 THEN '' ELSE zip END AS zip, "
+         f"CASE WHEN row_number % 10 = 0 THEN '' ELSE gender END AS gender FROM accounts")
+
+_ENC_COLS = ["row_number", "code", "firstname", "lastname"]
+
+
+def _two_encodings(spark, sf) -> list[str]:
+    return [_write_accounts_csv(spark, sf, "ISO-8859-1", _ENC_COLS), _write_accounts_csv(spark, sf, "UTF-8", _ENC_COLS)]
+
+
+def _encoding_fallback(spark, sf):
+    df = CSV.read_with_fallback(spark, _two_encodings(spark, sf))
+    return df.withColumn("row_number", F.col("row_number").cast("bigint"))
+
+
+register("scan_encoding_fallback", _encoding_fallback,
+         f"{_ACC_SQL} SELECT row_number, code, firstname, lastname FROM accounts UNION ALL "
+         f"SELECT row_number, code, firstname, lastname FROM accounts")
+
+
+def _dialect_encoding(spark, sf):
+    latin, utf8 = _two_encodings(spark, sf)
+    enc = DI.file_encodings(spark, [latin, utf8], CSV.CSV_GLOB)
+    return enc.select(F.when(F.col("file").contains("accounts-csv"), F.lit("accounts")).alias("kind"), "encoding")
+
+
+register("dialect_encoding", _dialect_encoding, None)
+
+
+def _delim_select() -> str:
+    counts = ", ".join(f"sum(length(line) - length(replace(line, {d}, ''))) AS c{i}"
+                       for i, d in enumerate(["','", "';'", "chr(9)", "'|'"]))
+    return ("SELECT file, CASE WHEN c0 >= c1 AND c0 >= c2 AND c0 >= c3 THEN ',' WHEN c1 >= c2 AND c1 >= c3 THEN ';' "
+            f"WHEN c2 >= c3 THEN chr(9) ELSE '|' END AS delimiter FROM (SELECT file, {counts} FROM raw_lines "
+            "WHERE line_no < 5 GROUP BY file) AS s0")
+
+
+def _delim_sql() -> str:
+    return f"WITH raw_lines AS ({fx.RAW_LINES_SQL})\n{_delim_select()}"
+
+
+register("dialect_delimiter", lambda spark, sf: DI.detect_delimiter(fx.raw_lines(spark, sf)), _delim_sql())
+
+
+def _encl_sql() -> str:
+    w = lambda q: f"(starts_with(f, {q}) AND ends_with(f, {q}))"
+    parts = []
+    for i, q in enumerate(["chr(34)", "chr(39)"]):
+        allw = f"len(list_filter(fields, lambda f: {w(q)}))"
+        longw = f"len(list_filter(fields, lambda f: length(f) >= 2 AND {w(q)}))"
+        parts.append(f"sum(CASE WHEN line_no = 0 THEN CASE WHEN {allw} = n THEN 10.0 ELSE {allw} / n END "
+                     f"WHEN blank THEN 0.0 ELSE {longw} / n END) AS s{i}")
+    neither = f"len(list_filter(fields, lambda f: NOT ({w('chr(34)')} OR {w('chr(39)')})))"
+    parts.append(f"sum(CASE WHEN line_no = 0 OR blank THEN 0.0 ELSE {neither} / n END) AS s2")
+    return (f"WITH raw_lines AS ({fx.RAW_LINES_SQL}),\nd AS ({_delim_select()}),\n"
+            f"h AS (SELECT r.file, r.line_no, {O.strip('r.line')} = '' AS blank, "
+            f"list_transform(string_split(r.line, d.delimiter), lambda f: {O.strip('f')}) AS fields FROM raw_lines r "
+            f"JOIN d ON r.file = d.file WHERE r.line_no <= 5),\nh2 AS (SELECT *, len(fields) AS n FROM h),\n"
+            f"sc AS (SELECT file, {', '.join(parts)} FROM h2 GROUP BY file)\n"
+            "SELECT file, CASE WHEN s0 >= s1 AND s0 >= s2 THEN CASE WHEN s0 > 1 THEN chr(34) ELSE chr(34) END "
+            "WHEN s1 >= s2 THEN CASE WHEN s1 > 1 THEN chr(39) ELSE chr(34) END "
+            "ELSE CASE WHEN s2 > 1 THEN '' ELSE chr(34) END END AS enclosure FROM sc")
+
+
+register("dialect_enclosure", lambda spark, sf: DI.detect_enclosure(fx.raw_lines(spark, sf)), _encl_sql())
+
+
+def _preview(spark, sf):
+    return CSV.preview(_roundtrip(spark, sf), 10)
+
+
+register("preview_top_n", _preview, f"{_ACC_SQL} SELECT * FROM accounts ORDER BY row_number LIMIT 10")
+register("row_count", lambda spark, sf: CSV.row_count(_roundtrip(spark, sf)),
+         "SELECT count(*) AS rows FROM customer")
+
+
+def _glob_filter(spark, sf):
+    acc = fx.accounts(spark, sf)
+    path = scratch_path(spark, "mixed")
+    acc.write.option("header", True).option("escape", '"').csv(path)
+    acc.write.mode("append").json(path)          # same folder, other extension
+    return CSV.row_count(CSV.read_delimited(spark, path, multi_line=True))
+
+
+register("scan_glob_filter", _glob_filter, "SELECT count(*) AS rows FROM customer")
+
+
+def _file_profile(spark, sf):
+    path = _write_accounts_csv(spark, sf, "UTF-8", _ENC_COLS)
+    return DI.file_profile(spark, path, CSV.CSV_GLOB).drop("file", "size_bytes", "lines_after_header")
+
+
+register("file_profile", _file_profile, None)
+
+_REPORT_SCHEMA = ("row_number bigint, code string, pos bigint, field_name string, error_type string, "
+                  "error_message string, invalid_value string")
+
+
+def _sink_json(spark, sf):
+    rep = _error_report("PE", "row")(spark, sf)
+    path = scratch_path(spark, "errors-json")
+    SK.write_errors_json(rep, path)
+    return spark.read.schema(_REPORT_SCHEMA).json(path)
+
+
+register("sink_json_roundtrip", _sink_json, O.error_report_sql("PE", "row"))
+
+
+def _sink_csv(spark, sf):
+    rep = _error_report("PE", "bulk")(spark, sf)
+    path = scratch_path(spark, "errors-csv")
+    SK.write_errors_csv(rep, path)
+    back = CSV.read_delimited(spark, path, multi_line=True)
+    names = dict(zip(SK.CSV_HEADINGS, ["row_number", "code", "field_name", "error_type", "invalid_value",
+                                       "error_message"]))
+    return back.select(*[F.col(f"`{h}`").alias(n) for h, n in names.items()]) \
+               .withColumn("row_number", F.col("row_number").cast("bigint"))
+
+
+register("sink_csv_roundtrip", _sink_csv,
+         O.error_report_sql("PE", "bulk").replace(
+             "SELECT row_number, code, CAST(i - 1 AS BIGINT) AS pos, e.field AS field_name",
+             "SELECT row_number, code, e.field AS field_name"))
