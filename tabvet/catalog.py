@@ -566,3 +566,184 @@ register("sink_csv_roundtrip", _sink_csv,
          O.error_report_sql("PE", "bulk").replace(
              "SELECT row_number, code, CAST(i - 1 AS BIGINT) AS pos, e.field AS field_name",
              "SELECT row_number, code, e.field AS field_name"))
+
+
+# ---------------------------------------------------------------- ST1, ST2
+from .streaming import stream as ST  # noqa: E402
+
+
+def _stream_validate(spark, sf):
+    schema = spark.read.parquet(f"{sf}/customer.parquet").schema
+    (spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf)
+          .createOrReplaceTempView("customer"))
+    acc = spark.sql(fx.ACCOUNTS_SQL)                     # the fixture, as a stream
+    out = ST.run_to_table(ST.validate_stream(acc, "PE"), "stream-validate")
+    res = spark.read.parquet(out)
+    return render(res)
+
+
+register("stream_validate", _stream_validate, O.validate_rows_sql("PE", "bulk"))
+
+
+def _stream_first_seen(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out = ST.first_seen_stream(events, "user_id", "event_id", "events-first-seen")
+    return spark.read.parquet(out).select("event_id", "user_id", "first_id")
+
+
+register("stream_first_seen", _stream_first_seen,
+         "SELECT event_id, user_id, first_id FROM (SELECT event_id, user_id, min(event_id) OVER (PARTITION BY user_id) "
+         "AS first_id FROM events) AS e WHERE event_id <> first_id")
+
+
+# ---------------------------------------------------------------- U1-U3, U5, U7, A11
+def _override(spark, sf):
+    acc = fx.accounts(spark, sf)
+    ctx = R.RowContext(acc.columns, F.lit(DEFAULT_AS_OF).cast("date"))
+    raw = cell(F.col("zip"))
+    s = pystrip(raw)
+    default = F.when(s != F.lit(""), R.FIELD_RULES["zip"][0](s, raw, ctx))
+    over = F.when(s != F.lit(""), RS.get_rule("PE", "zip").builder(s, raw, ctx))
+    return (acc.select("row_number", default.alias("default_error"), over.alias("override_error"))
+               .where(F.col("default_error").isNotNull() | F.col("override_error").isNotNull()))
+
+
+register("ruleset_override", _override,
+         f"{O.accounts_cte()}\nSELECT * FROM (SELECT row_number, "
+         f"CASE WHEN s_zip <> '' THEN {O.r_zip('s_zip', None)} END AS default_error, "
+         f"CASE WHEN s_zip <> '' THEN {O.r_zip_pe('s_zip', None)} END AS override_error FROM a) AS t "
+         f"WHERE default_error IS NOT NULL OR override_error IS NOT NULL")
+
+
+def _conditional(spark, sf):
+    acc = fx.accounts(spark, sf)
+    dep = RS.conditional_of("PE", "personalid")
+    out = field_rule(acc, "personalid", "personalid", "PE")
+    return out.join(acc.select("row_number", F.col(dep).alias("dependency_value")), "row_number")
+
+
+register("ruleset_conditional", _conditional,
+         f"{O.accounts_cte()}\nSELECT row_number, s_personalid AS value, error, citizenship AS dependency_value FROM "
+         f"(SELECT row_number, s_personalid, citizenship, CASE WHEN s_personalid <> '' THEN "
+         f"{O.r_personalid_pe('s_personalid', O.raw_ctx)} END AS error FROM a) AS t WHERE error IS NOT NULL")
+
+_GENDER_MSG = "Gender must be M or F"
+
+
+def _gender_rule(s, raw, ctx):
+    return F.when(~s.isin("M", "F"), F.lit(_GENDER_MSG))
+
+
+def _custom(spark, sf):
+    RS.define_ruleset("GX", "Gender check", ["code", "gender"])
+    RS.register_rule("GX", "gender", _gender_rule)
+    return render(validate(fx.accounts(spark, sf), "GX", "bulk"))
+
+
+def _custom_sql() -> str:
+    req = lambda c: f"CASE WHEN s_{c} = '' THEN code || {O.lit(' ' + c + ' is required but missing')} END"
+    rule = (f"CASE WHEN s_gender <> '' AND s_gender NOT IN ('M', 'F') THEN code || ' gender: ' || "
+            f"{O.lit(_GENDER_MSG)} || ': ''' || s_gender || '''' END")
+    msgs = [req("code"), req("gender"), rule, f"code || ' ' || {O.x_address_city(O.raw_ctx)}",
+            f"code || ' ' || {O.x_language_country(O.raw_ctx)}"]
+    n = " + ".join(f"CAST(({m}) IS NOT NULL AS INTEGER)" for m in msgs)
+    return (f"{O.accounts_cte()}\nSELECT row_number, code, ({n}) = 0 AS valid, CAST({n} AS BIGINT) AS n_errors, "
+            f"concat_ws(' | ', {', '.join(msgs)}) AS errors FROM a")
+
+
+register("ruleset_custom", _custom, _custom_sql())
+
+
+def _udf_row_check(row: dict) -> list:
+    errors = []
+    if len(row["code"].strip()) > 50:
+        errors.append("code longer than 50")
+    if row["gender"].strip() not in ("M", "F"):
+        errors.append("gender not one of M, F")
+    return errors
+
+
+def _validate_udf(spark, sf):
+    from .operators.udf import validate_with_function
+
+    acc = fx.accounts(spark, sf).select("row_number", "code", "gender")
+    return validate_with_function(acc, _udf_row_check)
+
+
+register("validate_with_udf", _validate_udf,
+         f"{O.accounts_cte()}\nSELECT row_number, valid, n_errors, errors FROM (SELECT row_number, "
+         f"(length(s_code) > 50)::INT + (s_gender NOT IN ('M', 'F'))::INT AS n, n = 0 AS valid, CAST(n AS BIGINT) AS n_errors, "
+         f"concat_ws(' | ', CASE WHEN length(s_code) > 50 THEN 'code longer than 50' END, "
+         f"CASE WHEN s_gender NOT IN ('M', 'F') THEN 'gender not one of M, F' END) AS errors FROM a) AS t")
+
+
+def _declared(spark, sf):
+    from .plans.constraints import check_declared
+
+    return check_declared(fx.accounts(spark, sf), "CO")
+
+
+def _declared_sql() -> str:
+    parts = []
+    for field, spec in RS.CO_DECLARED.items():
+        if field not in O.ACC_COLS:
+            continue
+        s = f"s_{field}"
+        for kind in ["required", "min_length", "max_length", "pattern", "values", "min_age"]:
+            if kind not in spec:
+                continue
+            arg = spec[kind]
+            if kind == "required":
+                if not arg or spec.get("conditional"):
+                    continue
+                cond, msg = f"{s} = ''", f"{field} is required"
+            elif kind == "min_length":
+                cond, msg = f"{s} <> '' AND length({s}) < {arg}", f"{field} shorter than {arg}"
+            elif kind == "max_length":
+                cond, msg = f"{s} <> '' AND length({s}) > {arg}", f"{field} longer than {arg}"
+            elif kind == "pattern":
+                cond, msg = f"{s} <> '' AND NOT regexp_matches({s}, {O.lit(arg)})", f"{field} does not match {arg}"
+            elif kind == "values":
+                cond = f"{s} <> '' AND {s} NOT IN ({', '.join(O.lit(v) for v in arg)})"
+                msg = f"{field} not one of {', '.join(arg)}"
+            else:
+                b = f"coalesce({O._parse(s, 'dmy')}, {O._parse(s, 'mdy')})"
+                cond = f"{s} <> '' AND {b} IS NOT NULL AND date_sub('year', {b}, {O.AS_OF}) < {arg}"
+                msg = f"{field} younger than {arg}"
+            parts.append(f"SELECT row_number, {O.lit(field)} AS field, {O.lit(kind)} AS \"constraint\", "
+                         f"{O.lit(msg)} AS error FROM a WHERE {cond}")
+    return f"{O.accounts_cte()}\n" + "\nUNION ALL\n".join(parts)
+
+
+register("declared_constraints", _declared, _declared_sql())
+
+
+def _report(spark, sf):
+    """One run's answers in long form (no join of one-row frames)."""
+    acc = fx.accounts(spark, sf)
+    res = validate(acc, "PE", "row")
+    summary = RP.validity_summary(res)
+    longs = [summary.select(F.lit(m).alias("metric"), F.col(m).alias("value"))
+             for m in ["total_rows", "valid_rows", "invalid_rows"]]
+    dups = D.duplicate_counts(acc, None, "row").select(
+        F.concat(F.lit("duplicate_"), F.col("field")).alias("metric"), F.col("n_values").alias("value"))
+    n_err = res.agg(F.sum(F.size("errors")).cast("bigint").alias("value")).select(F.lit("errors").alias("metric"), "value")
+    out = dups.unionByName(n_err)
+    for x in longs:
+        out = out.unionByName(x)
+    return out
+
+
+def _report_sql_simple() -> str:
+    summ = O.summary_sql("PE", "row")
+    dup = _dup_counts_sql(False)
+    errs = O.validate_rows_sql("PE", "row")
+    return (f"SELECT 'total_rows' AS metric, total_rows AS value FROM ({summ}) AS s UNION ALL "
+            f"SELECT 'valid_rows', valid_rows FROM ({summ}) AS s UNION ALL "
+            f"SELECT 'invalid_rows', invalid_rows FROM ({summ}) AS s UNION ALL "
+            f"SELECT 'duplicate_' || field, n_values FROM ({dup}) AS d UNION ALL "
+            f"SELECT 'errors', CAST(sum(n_errors) AS BIGINT) FROM ({errs}) AS v")
+
+
+register("validation_report", _report, _report_sql_simple())

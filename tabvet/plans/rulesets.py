@@ -182,3 +182,10 @@ def required_catalog(spark: SparkSession) -> DataFrame:
                            T.StructField("pos", T.IntegerType()),
                            T.StructField("field", T.StringType())])
     return spark.createDataFrame(rows, schema)
+
+
+def define_ruleset(code: str, name: str, required: list[str], declared: dict | None = None) -> RuleSet:
+    """Add (or replace) a named rule set; pair it with :func:`register_rule` overrides."""
+    rs = RuleSet(code, name, list(required), declared or {})
+    RULESETS[code] = rs
+    return rs
