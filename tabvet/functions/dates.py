@@ -28,7 +28,7 @@ def parse_date(s: Column, fmt: str) -> Column:
     """Date of ``s`` under one strptime format, NULL when it does not parse."""
     guard, pattern = FORMATS[fmt]
     # the only space the guard lets through sits before a one-digit day
-    return F.when(s.rlike(guard), F.try_to_date(F.regexp_replace(s, " ", ""), pattern))
+    return F.when(s.rlike(guard), F.try_to_date(F.replace(s, F.lit(" "), F.lit("")), pattern))
 
 
 def parse_first(s: Column, fmts: list[str]) -> Column:

@@ -107,6 +107,13 @@ class RowContext:
     def __init__(self, columns: list[str], as_of: Column):
         self._by_lower = {c.lower(): c for c in columns}
         self.as_of = as_of
+        # dates parsed once in an earlier projection: (str(value column), formats) -> column
+        self.parsed: dict[tuple[str, tuple[str, ...]], Column] = {}
+
+    def parse_date(self, s: Column, fmts: list[str]) -> Column:
+        """``s`` parsed by the first matching format, reusing an earlier parse."""
+        return self.parsed.get((str(s), tuple(fmts))) if (str(s), tuple(fmts)) in self.parsed \
+            else parse_first(s, fmts)
 
     def has(self, name: str) -> bool:
         return name.lower() in self._by_lower
@@ -146,7 +153,7 @@ def email_error(s: Column, raw: Column, ctx: RowContext) -> Column:
 
 # --- V4 ---------------------------------------------------------------------
 def birthdate_error(s: Column, raw: Column, ctx: RowContext) -> Column:
-    born = parse_first(s, BIRTHDATE_FORMATS)
+    born = ctx.parse_date(s, BIRTHDATE_FORMATS)
     age = full_years(ctx.as_of, born)
     return _first(
         (born.isNull(), MSG_BIRTH_FORMAT),
@@ -225,7 +232,7 @@ def citizenship_error(s: Column, raw: Column, ctx: RowContext) -> Column:
 
 
 def signupdate_error(s: Column, raw: Column, ctx: RowContext) -> Column:
-    d = parse_first(s, SIGNUP_DATE_FORMATS)
+    d = ctx.parse_date(s, SIGNUP_DATE_FORMATS)
     return _first((d.isNull(), MSG_SIGNUP_FORMAT), (d > ctx.as_of, MSG_SIGNUP_FUTURE))
 
 
@@ -341,6 +348,10 @@ FIELD_ALIASES = {"cellphone": "phone", "zipcode": "zip", "postalcode": "zip", "p
 ROW_SECOND_CHECK = {"firstname": name_length_error, "lastname": name_length_error}
 
 
+# rule types whose check parses the value as a date, with their formats
+DATE_RULES = {"birthdate": BIRTHDATE_FORMATS, "signupdate": SIGNUP_DATE_FORMATS}
+
+
 def rule_type_of(column: str) -> str | None:
     low = column.lower()
     low = FIELD_ALIASES.get(low, low)

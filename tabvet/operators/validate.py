@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.dates import parse_first
 from ..functions.text import cell, pystrip
 from ..plans import rulesets as RS
 
@@ -106,9 +107,17 @@ def check_rows(df: DataFrame, ruleset: RS.RuleSet, profile: str = "row",
     code = code_column(ctx0)
     stage1 = df.select(F.col(row_number).alias("__rn"), code.alias("__code"), "*",
                        *[pystrip(cell(F.col(f"`{c}`"))).alias(f"__s{pos}") for pos, c in checked])
+    # dates are parsed once here, so the date rules' CASE branches share them
+    dated = [(pos, R.DATE_RULES[rt]) for pos, c in checked
+             if (rt := R.rule_type_of(c)) in R.DATE_RULES]
+    if dated:
+        stage1 = stage1.select("*", *[parse_first(F.col(f"__s{pos}"), fmts).alias(f"__d{pos}")
+                                      for pos, fmts in dated])
 
     # stage 2: one message column per (column, rule); NULL when the value passes
     ctx = R.RowContext(df.columns, F.lit(as_of).cast("date"))
+    for pos, fmts in dated:
+        ctx.parsed[(str(F.col(f"__s{pos}")), tuple(fmts))] = F.col(f"__d{pos}")
     msgs, plan = [], []
     for pos, c in checked:
         s, raw = F.col(f"__s{pos}"), cell(F.col(f"`{c}`"))
