@@ -747,3 +747,13 @@ def _report_sql_simple() -> str:
 
 
 register("validation_report", _report, _report_sql_simple())
+
+
+# ---------------------------------------------------------------- K1
+def _scalar_strip(spark, sf):
+    acc = fx.accounts(spark, sf)
+    return acc.select("row_number", *[pystrip(cell(F.col(f"`{c}`"))).alias(c) for c in acc.columns if c != "row_number"])
+
+
+register("scalar_strip", _scalar_strip,
+         f"{O.accounts_cte()}\nSELECT row_number, {', '.join(f's_{c} AS {c}' for c in O.ACC_COLS)} FROM a")
