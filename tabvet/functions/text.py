@@ -26,6 +26,7 @@ def cell(c: Column | str) -> Column:
 
 
 _OTHER_WS = [ch for ch in PY_WHITESPACE if ch != " "]
+_OTHER_WS_CODES = [ord(ch) for ch in _OTHER_WS]
 
 
 def pystrip(c: Column) -> Column:
@@ -35,7 +36,8 @@ def pystrip(c: Column) -> Column:
     when an end character is still whitespace, which is rare in real data.
     """
     t = F.trim(c)
-    other_at_end = (F.substring(t, 1, 1).isin(_OTHER_WS) | F.substring(t, -1, 1).isin(_OTHER_WS))
+    # ascii() reads the first code point without copying the string
+    other_at_end = F.ascii(t).isin(_OTHER_WS_CODES) | F.substring(t, -1, 1).isin(_OTHER_WS)
     return F.when(other_at_end, F.btrim(t, F.lit(PY_WHITESPACE))).otherwise(t)
 
 

@@ -103,3 +103,9 @@ def test_cross_rules(spark):
         (None, None, R.MSG_PE_DOCUMENTS),
         (None, None, None),
     ]
+
+
+def test_strip_non_ascii_ends(spark):
+    vals = [" x", "　y ", "\tz", "\x85w\x85", "ok", "", "   "]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    assert [r[0] for r in df.select(pystrip(F.col("v"))).collect()] == [v.strip() for v in vals]
