@@ -73,5 +73,9 @@ def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:
     """
     if reliable:
         ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        # persisted first, so the checkpoint write does not recompute the plan
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
     return df.persist(StorageLevel.MEMORY_AND_DISK)
