@@ -44,6 +44,18 @@ def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.groupBy("_id").agg(F.max("_text").alias("_text"))
 
 
+def one_document_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows, one for each id as in ``one_row_per_id``; unchanged where ids are unique."""
+    ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    n = docs.select(ids.alias("_id")).agg(F.count("*").alias("n"), F.count_distinct("_id").alias("d")).first()
+    if n["n"] == n["d"]:
+        return docs
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    order = [F.xxhash64(F.to_json(F.struct(F.col(f"`{c}`")))) for c in docs.columns]
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(text, *order))
+    return docs.groupBy(ids.alias("_key")).agg(best.alias("_row")).select("_row.*")
+
+
 def outer_id(name: str = "_id") -> Column:
     """The id as the caller knows it."""
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name))

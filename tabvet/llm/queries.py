@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import language, quality, toxicity
 from .common import table
+from .decontaminate import UNITS, contamination
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
 from .packing import cut, pack
+from .substring import dedup_units
+from .suffix import repeated_strings
 from .token_blocks import read_tokens, write_tokens
 
 
+def held_out_fold(folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text leaves ``fold``; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["length"])), ",")
+    return dedup_units(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_units", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), spans.alias("removed_spans")
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    items = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    joined = docs.select("doc_id").distinct().join(items, "doc_id", "left")
+    return joined.select("doc_id", F.col("ids").isNotNull().alias("contaminated"), F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("items"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), held_out_fold(4, 2)
+    model = language.train(docs, ~held_out)
+    return language.label(docs, model).select("doc_id", held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut(table(spark, sf_dir, "documents"))).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
@@ -29,13 +65,71 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _learned_from(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out_fold(3, 1))
+    return labels.select("doc_id", F.col(label).alias("label"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _learned_from(spark, sf_dir, "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held_out_fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(docs, _learned_from(spark, sf_dir, "quality"))
+    return quality.score(docs, net).select("doc_id", held_out_fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_best_fit_packing, op7_token_blocks, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_language_id, op6_best_fit_packing, op7_token_blocks, op8_toxicity, op9_quality, op10_minhash)}
+
+
+
+def _forms(source: str, key: str, name: str) -> str:
+    """SQL of the tokens and template tokens of a table."""
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    return rf"""{name} AS (SELECT id, words, list_transform(words, lambda x: CASE
+            WHEN regexp_matches(x, '^\p{{N}}') THEN '#n' WHEN regexp_matches(x, '^\p{{Lu}}') THEN '#p'
+            WHEN x IN ({units}) THEN '#u' ELSE lower(x) END) AS forms
+        FROM (SELECT {key} AS id, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM {source}))"""
+
 
 ORACLE = {
+    "op2_line_dedup": r"""
+        WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM t),
+        w AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM u),
+        d AS (SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 4 AS counts, md5(norm) AS digest FROM w),
+        r AS (SELECT *, counts AND row_number() OVER (PARTITION BY digest, counts ORDER BY doc_id, place) > 1 AS gone,
+                     coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+              FROM d)
+        SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256,
+               coalesce(string_agg(begins::VARCHAR || ':' || length(line)::VARCHAR, ',' ORDER BY place) FILTER (gone), '') AS removed_spans
+        FROM r GROUP BY doc_id""",
+    "op3_decontamination": rf"""
+        WITH {_forms("documents", "doc_id", "d")}, {_forms("benchmark", "item_id", "b")},
+        ds AS (SELECT id, words, forms FROM d WHERE len(words) > 0),
+        bs AS (SELECT id AS item_id, words AS iw, forms AS f, least(len(words), 8) AS size FROM b WHERE len(words) > 0),
+        bw AS (SELECT item_id, size, len(iw) - size + 1 AS n, j, list_slice(iw, j + 1, j + size) AS iw, list_slice(f, j + 1, j + size) AS f
+               FROM (SELECT *, unnest(range(len(iw) - size + 1)) AS j FROM bs)),
+        dw AS (SELECT id, size, i, list_slice(words, i + 1, i + size) AS w, list_slice(forms, i + 1, i + size) AS f
+               FROM (SELECT *, unnest(range(len(words) - size + 1)) AS i FROM ds, (SELECT DISTINCT size FROM bs) WHERE len(words) >= size)),
+        m AS (SELECT dw.id, bw.item_id, n, i - j AS shift, j, w, iw, dw.f, dw.size,
+                     len(list_filter(dw.f, lambda x: x[1] = '#')) AS slots FROM dw JOIN bw ON dw.f = bw.f),
+        ok AS (SELECT * FROM m WHERE 2 * slots <= size OR list_transform(w, lambda x: lower(x)) = list_transform(iw, lambda x: lower(x))),
+        s AS (SELECT DISTINCT id, item_id, shift, a, v FROM
+              (SELECT id, item_id, shift, unnest(f) AS x, unnest(iw) AS a, unnest(w) AS v FROM ok) WHERE x[1] = '#'),
+        bad AS (SELECT DISTINCT id, item_id, shift FROM (SELECT id, item_id, shift, a FROM s GROUP BY ALL HAVING count(*) > 1)),
+        hit AS (SELECT id, item_id FROM ok ANTI JOIN bad USING (id, item_id, shift) GROUP BY id, item_id, n HAVING count(DISTINCT j) / n >= 0.5)
+        SELECT doc_id, count(item_id) > 0 AS contaminated, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id), '') AS items
+        FROM documents LEFT JOIN hit ON doc_id = id GROUP BY doc_id""",
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
         d AS (SELECT doc_id, length(x) AS chars, sha256(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM t),
