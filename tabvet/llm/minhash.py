@@ -81,7 +81,7 @@ def _sketch(k: int):
             texts, at = b.column(1).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
                     size += len(texts[end]) + 1
                     end += 1
                 sets = shingle_sets(texts[at:end], k)
@@ -105,7 +105,7 @@ def _sets(k: int):
             texts, at = b.column(1).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
                     size += len(texts[end]) + 1
                     end += 1
                 found = shingle_sets(texts[at:end], k)
