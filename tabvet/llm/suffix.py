@@ -183,10 +183,10 @@ def _compare_windows(batches):
     run, edge = _runs(lead0, lead1)
     bodies = cols[4]
     cuts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    # whole runs at a time, about 8 MB of text; a longer run is taken as one
+    # whole runs at a time, about 1 MB of text; a longer run is taken as one
     at = 0
     while at < len(run):
-        end = int(np.searchsorted(cuts, at + 60_000, side="left"))
+        end = int(np.searchsorted(cuts, at + 8_000, side="left"))
         end = int(cuts[end]) if end < len(cuts) else len(run)
         some = slice(at, end)
         of_run, w0, w1, start, row = _windows(run[some], [bodies[int(i)].as_py() for i in order[some]], span[some])
