@@ -5,14 +5,12 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-#: A space beside white space: there a run of white space is split in a way of its own.
-_RUN = re.compile(r" \s|\s ")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: A line break beside white space or at an end.
 _BREAK = re.compile(r"\s\n|\n\s|^\n|\n$")
 #: Marks that are cut off a word's end: after a letter a run of them is a piece of its own.
 MARKS = ".,!*$&%#|?;:"
-PART_CACHE, WORD_CACHE = 300_000, 600_000
+PART_CACHE, WORD_CACHE = 150_000, 300_000
 BATCH_CHARS = 4_000_000
 
 
@@ -28,53 +26,85 @@ class Encoder:
     The vocabulary's splitter always ends a piece before a single space between
     two other characters, around a single line break, and between a letter and a
     run of marks; and pieces are merged on their own.  So the ids of a text are
-    those of its parts in a row.  The library encodes each distinct part once;
-    parts are kept in caches of bounded size.
+    those of its parts in a row.  The library merges each distinct part once; parts
+    are kept in caches of bounded size, of which the older half goes when they fill.
     """
 
     def __init__(self, path: str, end_id: int | None) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = self.tokenizer.model.tokenize
+        # the splitter's characters for bytes, as it gives them for each byte alone
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        text = "".join(map(chr, range(0x80))) + "".join(map(chr, range(0x80, 0x800))) + "\u0800\u1000\u2000\u3000\u4000\u5000\u6000\u7000\u8000\u9000\ua000\ub000\uc000\ud000\ue000\uf000"
+        text += "".join(map(chr, (0x10000, 0x50000, 0x90000, 0xD0000, 0x100000)))
+        self.letters = dict(zip(text.encode(), "".join(x for x, _ in spell(text))))
         self.end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _learn(self, known: dict[str, bytes], parts: set[str], lead: str) -> None:
-        import numpy as np
-
-        words, made = self.words, {}
-        for p in parts:
-            if p in known:
-                continue
-            pieces: list[str] = []
-            for q in p.split("\n") if "\n" in p and not _BREAK.search(p) else [p]:
-                if pieces:
-                    pieces.append("\n")
-                before, head = "" if pieces else lead, q.rstrip(MARKS)
-                if head and head[-1].isalpha():
-                    pieces += [before + head, q[len(head) :]]
-                else:
-                    pieces.append(before + q)
-            made[p] = pieces
-        new = list({q for pieces in made.values() for q in pieces if q not in words})
-        for k in range(0, len(new), 2000):
-            found = self.tokenizer.encode_batch(new[k : k + 2000], add_special_tokens=False)
-            words.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(new[k : k + 2000], found))
-        known.update((p, b"".join([words[q] for q in pieces])) for p, pieces in made.items())
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.parts = Parts(self, ""), Parts(self, " ")
+        self.words: tuple[dict, dict] = ({}, {})
+
+    def _word(self, w: str) -> bytes:
+        """Ids of one piece."""
+        new, old = self.words
+        ids = new.get(w)
+        if ids is None:
+            ids = old.get(w)
+            if ids is None:
+                spelled = w.encode().decode("latin-1").translate(self.letters)
+                ids = b"".join([self.raw[t.id] for t in self.merge(spelled)])
+            new[w] = ids
+        return ids
+
+    def part(self, p: str, lead: str) -> bytes | None:
+        """Ids of a part between spaces; None where white space meets a space."""
+        head = p.rstrip(MARKS)
+        if head.isalpha():  # a piece, and marks that are another
+            return self._word(lead + head) + self._word(p[len(head) :]) if len(head) < len(p) else self._word(lead + head)
+        if not p or p[0].isspace() or p[-1].isspace():
+            return None
+        if "\n" in p and not _BREAK.search(p):
+            one, *more = p.split("\n")
+            return self.part(one, lead) + b"".join([self._word("\n") + self.part(q, "") for q in more])
+        return self._whole(lead + p)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self.raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > PART_CACHE:
-            self.first, self.rest = {}, {}
-        if len(self.words) > WORD_CACHE:
-            self.words = {"": b""}
-        split = [_BETWEEN_WORDS.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {s[0] for s in split}, "")
-        self._learn(self.rest, set().union(*(s[1:] for s in split)), " ")
-        first, rest = self.first, self.rest.__getitem__
-        return [first[s[0]] + b"".join(map(rest, s[1:])) + self.end for s in split]
+        if len(self.words[0]) > WORD_CACHE:
+            self.words = {}, self.words[0]
+        first, rest = (x.kept() for x in self.parts)
+        out = []
+        for t in texts:
+            s = t.split(" ")
+            try:
+                out.append(first(s[0]) + b"".join(map(rest, s[1:])) + self.end)
+            except TypeError:  # a part is None
+                s = _BETWEEN_WORDS.split(t)
+                out.append(self._whole(s[0]) + b"".join([rest(p) or self._whole(" " + p) for p in s[1:]]) + self.end)
+        return out
+
+
+class Parts(dict):
+    """Ids by part; what is missing is found, or taken from the older half."""
+
+    def __init__(self, coder: Encoder, lead: str) -> None:
+        super().__init__()
+        self.coder, self.lead, self.old = coder, lead, {}
+
+    def __missing__(self, p: str) -> bytes | None:
+        ids = self.old.get(p)
+        self[p] = ids = self.coder.part(p, self.lead) if ids is None else ids
+        return ids
+
+    def kept(self):
+        if len(self) > PART_CACHE:
+            self.old = dict(self)
+            self.clear()
+        return self.__getitem__
 
 
 @lru_cache(maxsize=2)
