@@ -389,12 +389,11 @@ register("suggest_mappings", lambda spark, sf: SC.suggest_mappings(fx.headers(sp
 
 def _row_numbering(spark, sf):
     fx.register_tables(spark, sf, ["lineitem"])
-    li = spark.table("lineitem").select("l_orderkey", "l_linenumber")
-    return number_rows(li, ["l_orderkey", "l_linenumber"])
+    return number_rows(spark.table("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 register("row_numbering", _row_numbering,
-         "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS row_number FROM lineitem")
+         "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS row_number FROM lineitem")
 
 
 # ---------------------------------------------------------------- S1-S12

@@ -1,11 +1,12 @@
 """Dense, global, 1-based row numbers without a single-partition window.
 
-Range-partition on the order key and sort inside each partition; then one
-small aggregate counts the rows of every partition, a running sum over those
-counts gives each partition's offset, and every row's number is its offset
-plus its position inside the partition.  The offsets table has one row per
-partition, so broadcasting it is bounded by the partition count, not by the
-data.  The range shuffle is shared by the count and the numbering.
+Range-partition on the order key, sort inside each partition, and write the rows
+with their partition and place to the shared scratch folder.  One small aggregate
+of that table counts the rows of every partition, a running sum gives each
+partition's offset, and a row's number is its offset plus its place.  Counting and
+numbering read the same written rows: two range shuffles would sample their bounds
+apart and not agree.  The offsets have one row per partition, so broadcasting them
+is bounded by the partition count, not by the data.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def number_rows(df: DataFrame, order_by: list[str], column: str = "row_number",
                 num_partitions: int | None = None) -> DataFrame:
@@ -22,6 +25,9 @@ def number_rows(df: DataFrame, order_by: list[str], column: str = "row_number",
     ranged = (df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__mid", F.monotonically_increasing_id()))
+    path = scratch_path(spark, "numbered")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__base"))
     offsets = counts.select(
         "__pid", "__base",

@@ -105,9 +105,10 @@ def missing_columns(headers: DataFrame, required: list[str],
     mappings = mappings or {}
     names = headers.select("file", F.lower(clean_header(F.col("column_name"))).alias("n"))
     per_file = names.groupBy("file").agg(F.collect_set("n").alias("avail"))   # one header per group
-    extra = [F.when(F.array_contains("avail", src.lower()), F.array(F.lit(tgt.lower())))
-             .otherwise(F.array().cast("array<string>")) for src, tgt in mappings.items()]
-    avail = F.concat(F.col("avail"), *extra) if extra else F.col("avail")
+    avail = F.col("avail")
+    if mappings:   # in their order, so a mapped target can be the source of the next
+        steps = F.array(*[F.struct(F.lit(s.lower()).alias("s"), F.lit(t.lower()).alias("t")) for s, t in mappings.items()])
+        avail = F.aggregate(steps, avail, lambda a, m: F.when(F.array_contains(a, m["s"]), F.array_append(a, m["t"])).otherwise(a))
     req = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(r).alias("field")) for i, r in enumerate(required)])
     return (per_file.select("file", avail.alias("avail"), F.explode(req).alias("r"))
                     .where(~F.array_contains("avail", F.lower(F.col("r.field"))))

@@ -70,6 +70,12 @@ def _parse(s: str, fmt: str) -> str:
 
 
 # ---------------------------------------------------------------- field rules
+# Patterns of the field rules.
+PHONE_RE = r"^\+?\d[\d\s\-\(\)]{8,20}$"
+TWO_UPPER_RE = "^[A-Z]{2}$"
+ZIP_RE = r"^[a-zA-Z0-9\s\-]{3,10}$"
+TWO_LOWER_RE = "^[a-z]{2}$"
+THREE_UPPER_RE = "^[A-Z]{3}$"
 EMAIL_RE = r"^[a-zA-Z0-9._%+-áéíóúñÁÉÍÓÚÑ$]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 NAME_RE = r"^[a-zA-ZáéíóúñÁÉÍÓÚÑ\s\-\'\.]+$"
 PID_RE = r"^[A-Za-z0-9\-\s]+$"
@@ -81,9 +87,9 @@ def _nm(cond: str, msg: str) -> str:
 
 
 def r_email(s, ctx):
-    return (f"CASE {_nm(f'NOT contains({s}, {lit(chr(64))})', 'Email missing @ symbol')} "
+    return (f"CASE {_nm(f'NOT contains({s}, {lit('@')})', 'Email missing @ symbol')} "
             f"{_nm(f'NOT regexp_matches({s}, {lit(EMAIL_RE)})', 'Email has invalid format')} "
-            f"{_nm(f'split_part(lower({s}), {lit(chr(64))}, 2) IN {DISPOSABLE}', 'Disposable email addresses are not allowed')} END")
+            f"{_nm(f'split_part(lower({s}), {lit('@')}, 2) IN {DISPOSABLE}', 'Disposable email addresses are not allowed')} END")
 
 
 def r_birthdate(s, ctx):
@@ -95,7 +101,7 @@ def r_birthdate(s, ctx):
 
 
 def r_phone(s, ctx):
-    return f"CASE {_nm(f'NOT regexp_matches({s}, {lit(chr(94) + r'\+?\d[\d\s\-\(\)]{8,20}$')})', 'Phone number has invalid format')} END"
+    return f"CASE {_nm(f'NOT regexp_matches({s}, {lit(PHONE_RE)})', 'Phone number has invalid format')} END"
 
 
 def r_name(s, ctx):
@@ -147,7 +153,7 @@ def r_idcardno(s, ctx):
 
 
 def r_citizenship(s, ctx):
-    return f"CASE {_nm(f'NOT regexp_matches(upper({s}), {lit(chr(94) + "[A-Z]{2}$")})', 'Citizenship must be 2 uppercase letters')} END"
+    return f"CASE {_nm(f'NOT regexp_matches(upper({s}), {lit(TWO_UPPER_RE)})', 'Citizenship must be 2 uppercase letters')} END"
 
 
 def r_signupdate(s, ctx):
@@ -162,11 +168,11 @@ def r_address(s, ctx, raw=None):
 
 
 def r_countrycode(s, ctx):
-    return f"CASE {_nm(f'NOT regexp_matches(upper({s}), {lit(chr(94) + "[A-Z]{2}$")})', 'Country code must be 2 uppercase letters')} END"
+    return f"CASE {_nm(f'NOT regexp_matches(upper({s}), {lit(TWO_UPPER_RE)})', 'Country code must be 2 uppercase letters')} END"
 
 
 def r_zip(s, ctx):
-    return f"CASE {_nm(f'NOT regexp_matches({s}, {lit(chr(94) + r"[a-zA-Z0-9\s\-]{3,10}$")})', 'Zip code has invalid format')} END"
+    return f"CASE {_nm(f'NOT regexp_matches({s}, {lit(ZIP_RE)})', 'Zip code has invalid format')} END"
 
 
 def r_zip_pe(s, ctx):
@@ -176,11 +182,11 @@ def r_zip_pe(s, ctx):
 
 
 def r_language(s, ctx):
-    return f"CASE {_nm(f'NOT regexp_matches(lower({s}), {lit(chr(94) + "[a-z]{2}$")})', 'Language code must be 2 lowercase letters')} END"
+    return f"CASE {_nm(f'NOT regexp_matches(lower({s}), {lit(TWO_LOWER_RE)})', 'Language code must be 2 lowercase letters')} END"
 
 
 def r_currency(s, ctx):
-    return f"CASE {_nm(f'NOT regexp_matches(upper({s}), {lit(chr(94) + "[A-Z]{3}$")})', 'Not a valid format (should be 3 uppercase letters)')} END"
+    return f"CASE {_nm(f'NOT regexp_matches(upper({s}), {lit(THREE_UPPER_RE)})', 'Not a valid format (should be 3 uppercase letters)')} END"
 
 
 # ---------------------------------------------------------------- cross rules

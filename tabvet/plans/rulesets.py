@@ -96,7 +96,7 @@ class RuleSet:
 
 
 RULESETS: dict[str, RuleSet] = {
-    "CO": RuleSet("CO", "Colombia", CO_REQUIRED, CO_DECLARED),
+    "CO": RuleSet("CO", "Columbia", CO_REQUIRED, CO_DECLARED),
     "PE": RuleSet("PE", "Peru", PE_REQUIRED, PE_DECLARED,
                   conditional_required={"personalid": "citizenship"}),
     "IMS": RuleSet("IMS", "Basic", IMS_REQUIRED, IMS_DECLARED),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's checkpoint folder; create a private one only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; a machine-local
-    folder is only chosen here for local runs and tests, where nothing is set.
+    folder is only chosen for a ``local`` master, where nothing is set.
     """
     d = checkpoint_dir(spark)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tabvet-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

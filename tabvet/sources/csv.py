@@ -9,6 +9,8 @@ where the dialect profile shows embedded newlines.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,8 @@ def read_delimited(spark: SparkSession, path, sep: str = ",", quote: str = '"',
     cells read as ``''``, extra cells are dropped (S2).
     """
     r = _reader(spark, sep, quote, encoding, multi_line, glob, header)
+    if columns is None and header:
+        r = r.option("enforceSchema", False)   # files whose headers differ are refused, not mixed
     if columns is not None:
         r = r.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return as_strings(r.csv(path))
@@ -59,13 +63,16 @@ def read_with_fallback(spark: SparkSession, path: str, sep: str = ",", quote: st
     from .dialect import file_encodings
 
     enc = file_encodings(spark, path, glob)
-    utf8 = [r["file"] for r in enc.where(F.col("encoding") == "utf-8").select("file").toLocalIterator()]
-    latin = [r["file"] for r in enc.where(F.col("encoding") != "utf-8").select("file").toLocalIterator()]
+    files = enc.select("file", "encoding").collect()   # one short row a file; paths are URI-encoded
+    utf8 = [unquote(r["file"]) for r in files if r["encoding"] == "utf-8"]
+    latin = [unquote(r["file"]) for r in files if r["encoding"] != "utf-8"]
     parts = []
     if utf8:
         parts.append(read_delimited(spark, utf8, sep, quote, "UTF-8", multi_line, None))
     if latin:
         parts.append(read_delimited(spark, latin, sep, quote, "ISO-8859-1", multi_line, None))
+    if not parts:   # only empty files
+        return read_delimited(spark, path, sep, quote, "UTF-8", multi_line, glob)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

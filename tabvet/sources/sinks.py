@@ -21,7 +21,7 @@ def write_errors_json(errors: DataFrame, path: str, mode: str = "overwrite") ->
 
 def write_errors_csv(errors: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None) -> None:
     """The error report as CSV with the reference's headings, in row order."""
-    order = order or ["row_number", "pos"]
+    order = order or ["row_number", "seq" if "seq" in errors.columns else "pos"]
     out = errors.orderBy(*order).select(*[F.col(s).alias(h) for s, h in zip(_CSV_SOURCE, CSV_HEADINGS)])
     (out.write.mode(mode).option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

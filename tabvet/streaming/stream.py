@@ -31,10 +31,14 @@ def validate_stream(stream: DataFrame, ruleset=None, as_of: str = "2025-01-01",
     return check_rows(stream, ruleset, "bulk", as_of, row_number)
 
 
-def run_to_table(stream: DataFrame, name: str, fmt: str = "parquet") -> str:
-    """Drain a stream with ``availableNow`` into a folder under the checkpoint dir."""
-    spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+def run_to_table(stream: DataFrame, name: str, fmt: str = "parquet", folder: str | None = None) -> str:
+    """Drain a stream with ``availableNow`` into a folder; returns the output folder.
+
+    A later call with the same ``folder`` goes on where the earlier one ended; without
+    one a new folder under the checkpoint dir is used.
+    """
+    folder = folder or scratch_path(stream.sparkSession, name)
+    out, ckpt = f"{folder}/out", f"{folder}/checkpoint"
     q = (stream.writeStream.format(fmt).option("path", out).option("checkpointLocation", ckpt)
                .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -42,39 +46,39 @@ def run_to_table(stream: DataFrame, name: str, fmt: str = "parquet") -> str:
 
 
 def first_seen_stream(stream: DataFrame, key: str, id_col: str, name: str = "first-seen",
-                      out: str | None = None) -> str:
+                      folder: str | None = None) -> str:
     """ST2: write ``id, key, first_id`` for every row whose key was seen before.
 
     "Before" is an earlier micro-batch, or a lower ``id_col`` in the same one.
-    Returns the output folder (partitioned by batch id).
+    Returns the output folder (partitioned by batch id).  State, output and
+    checkpoint live in ``folder``; a later call with the same folder goes on where
+    the earlier one ended.  Without one a new folder under the checkpoint dir is used.
     """
     spark = stream.sparkSession
-    state = scratch_path(spark, f"{name}-state")
-    out = out or scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    folder = folder or scratch_path(spark, name)
+    state, out, ckpt = f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint"
     key_type = dict(stream.dtypes)[key]
-    id_type = dict(stream.dtypes)[id_col]
+    schema = f"`{key}` {key_type}, first_id {dict(stream.dtypes)[id_col]}"
+    # the state is there from the start, so a read that fails is an error
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{state}/epoch=-1")
 
     def prior(session: SparkSession, epoch: int) -> DataFrame:
-        try:
-            df = session.read.parquet(state)
-        except Exception:   # no batch has written state yet
-            return session.createDataFrame([], f"`{key}` {key_type}, first_id {id_type}, epoch bigint")
-        return df.where(F.col("epoch") < epoch)
+        return session.read.schema(f"{schema}, epoch bigint").parquet(state).where(F.col("epoch") < epoch)
 
     def process(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
+        batch = batch.select(id_col, key).persist()
         seen = prior(session, epoch).select(key, "first_id")
         firsts = batch.groupBy(key).agg(F.min(id_col).alias("batch_first"))      # partial + final
         new_keys = firsts.join(seen, key, "left_anti")
         (new_keys.select(key, F.col("batch_first").alias("first_id"))
-                 .withColumn("epoch", F.lit(epoch).cast("bigint"))
                  .write.mode("overwrite").parquet(f"{state}/epoch={epoch}"))
         known = firsts.join(seen, key, "left").select(
             key, F.coalesce(F.col("first_id"), F.col("batch_first")).alias("first_id"))
         flagged = (batch.select(id_col, key).join(known, key)
                         .where(F.col(id_col) != F.col("first_id")))
         flagged.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).start())

@@ -3,12 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+from tabvet.catalog import ORACLE, QUERIES
 from scripts.compare import compare
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
 
 
 def test_every_query_is_documented():
@@ -21,7 +20,7 @@ def test_every_query_is_documented():
 def test_query_matches_oracle(spark, name):
     r = compare(spark, SF_SMALL, name, QUERIES[name], ORACLE.get(name))
     assert r["ok"] is not False, r
-    assert r["rows"] >= 0
+    assert r["ok"] or r["rows"] > 0, r
 
 
 def test_entry(spark):
