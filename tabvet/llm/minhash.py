@@ -14,8 +14,9 @@ from .words import mix, word_hashes
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Pairs between components that are checked at once, for each document in a bucket.
-PAIRS_PER_DOC = 4
+#: Pairs between components that are taken up at once, for each document in a bucket:
+#: this to the power of 1 and the number of stars, as each star rules out more of them.
+PAIRS_PER_DOC = 16
 _EMPTY = np.uint64(2**64 - 1)
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -127,10 +128,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     a bucket are candidates; 32 bands of 4 leave a pair at 0.8 apart in all of them
     with probability 5e-8.  In each bucket one class is the centre of a star and is
     checked against all others on full sets, so candidates are as many as bucket
-    members and never all pairs.  Centres leave their bucket.  What a star cannot
-    settle are pairs of classes of one bucket that are still in different
-    components: as soon as these are few (PAIRS_PER_DOC a document) they are all
-    checked, until then stars go on.  So no link is lost to the star.
+    members and never all pairs; then it leaves the bucket.  What the star cannot
+    settle are pairs of one bucket that are still in different components.  As soon
+    as these are few enough (PAIRS_PER_DOC), those that their distances to the
+    centres do not rule out are checked too; until then stars go on.  So the star
+    loses no link.
 
     Null and empty texts, and texts without words, have an empty set and stay alone;
     rows that repeat an id (null is an id) are one document with the greatest text;
@@ -147,45 +149,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     in_bucket = open_members.select(F.col("rep").alias("_id")).distinct()
     sets = stored(rows.join(in_bucket, "_id", "left_semi").mapInArrow(_sets(shingle), "_id long, set array<long>"), "sets")
     n_open = sets.count()
-    labels, links, checked = None, None, None
+    labels, sims = None, None
 
-    while n_open:
-        named = open_members if labels is None else open_members.join(labels, "rep", "left")
-        named = named.select("key", "rep", "n", (F.col("rep") if labels is None else F.coalesce("label", "rep")).alias("label"))
-        counts = named.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("first"))
-        unsettled = stored(
-            counts.groupBy("key").agg(
-                F.sum("c").alias("members"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).cast("long").alias("pairs"),
-                # the centre: from the smallest component of the bucket, so that strays go first; at the start, any
-                F.min(F.struct("c", F.col("first.h").alias("h"), F.col("first.rep").alias("rep"), F.col("first.n").alias("n"), "label")).alias("star"),
-            ).where("pairs > 0"), "unsettled")
-        left = unsettled.agg(F.sum("pairs").alias("pairs"), F.sum("members").alias("members")).first()
-        if not left["pairs"]:
-            break
-        last = left["pairs"] <= PAIRS_PER_DOC * n_open
-        live = salted_join(named, unsettled, ["key"], "members", left["members"])
-        if last:
-            other = named.join(unsettled.select("key"), "key", "left_semi").select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            both = live.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), "label").join(other, "key").where("label < lb")
-        else:
-            star = F.col("star")
-            both = live.where(F.col("label") != star["label"]).select(star["rep"].alias("a"), star["n"].alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-        fits = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        pairs = fits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+    def check(pairs: DataFrame) -> DataFrame:
+        """Distance and link of ``pairs(a, b)`` on full sets; earlier results are kept."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if sims is not None:
+            pairs = pairs.join(sims, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         one = pairs.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("sa")), "a")
         two = one.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("sb")), "b")
         shared = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
-        found = stored(shared.where(F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if last:
+        union = F.col("total") - F.col("i")
+        new = stored(shared.select("a", "b", (1 - F.col("i") / union).alias("d"), (F.col("i") * 100 >= union * percent).alias("link")), "sims")
+        return new if sims is None else sims.unionByName(new)
+
+    def fits(a: str, b: str):
+        """Sets of these sizes can be similar enough."""
+        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+    open_members, stars = open_members.withColumn("ds", F.array().cast("array<double>")), 0
+    while n_open:
+        centres = stored(open_members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"), F.count("*").alias("members"))
+                         .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres")
+        total = centres.agg(F.sum("members")).first()[0] or 0
+        star = salted_join(open_members, centres, ["key"], "members", total).where(F.col("rep") != F.col("c"))
+        sims = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
+        labels, stars = components(sims.where("link")), stars + 1
+        known = star.join(sims.select("a", "b", "d"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
+        known = known.select("key", "rep", "n", F.concat("ds", F.array("d")).alias("ds"))
+        named = stored(known.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
+        counts = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+        unsettled = stored(counts.agg(F.sum("c").alias("members"), F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs")).where("pairs > 0"), "unsettled")
+        left = unsettled.agg(F.sum("pairs")).first()[0] or 0
+        if not left:
+            break
+        still = named.join(unsettled.select("key"), "key", "left_semi")
+        if left <= PAIRS_PER_DOC ** (1 + stars) * n_open:
+            other = still.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("ds").alias("db"))
+            # 1 - Jaccard is a metric: two that are close are about as far from any centre
+            apart = F.exists(F.zip_with("ds", "db", lambda x, y: F.abs(x - y)), lambda x: x > 1 - percent / 100 + 1e-9)
+            both = still.withColumnRenamed("rep", "a").join(other, "key").where((F.col("label") < F.col("lb")) & fits("n", "nb") & ~F.coalesce(apart, F.lit(False)))
+            sims = check(both.select("a", "b"))
+            labels = components(sims.where("link"))
             break
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        centres = unsettled.select("key", F.col("star.rep").alias("rep"))
-        open_members = stored(open_members.join(unsettled.select("key"), "key", "left_semi").join(centres, ["key", "rep"], "left_anti"), "members")
+        open_members = stored(still.select("key", "rep", "n", "ds"), "members")
 
     of_class = classes.select("digest", "size", "rep")
     if labels is None:
