@@ -389,11 +389,13 @@ register("suggest_mappings", lambda spark, sf: SC.suggest_mappings(fx.headers(sp
 
 def _row_numbering(spark, sf):
     fx.register_tables(spark, sf, ["lineitem"])
-    return number_rows(spark.table("lineitem"), ["l_orderkey", "l_linenumber"])
+    li = spark.table("lineitem")   # the key has ties here: the other columns break them
+    return number_rows(li, ["l_orderkey", "l_linenumber", *(c for c in li.columns if c not in ("l_orderkey", "l_linenumber"))])
 
 
 register("row_numbering", _row_numbering,
-         "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS row_number FROM lineitem")
+         "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
+         "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS row_number FROM lineitem")
 
 
 # ---------------------------------------------------------------- S1-S12
