@@ -129,10 +129,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     with probability 5e-8.  In each bucket one class is the centre of a star and is
     checked against all others on full sets, so candidates are as many as bucket
     members and never all pairs; then it leaves the bucket.  What the star cannot
-    settle are pairs of one bucket that are still in different components.  As soon
-    as these are few enough (PAIRS_PER_DOC), those that their distances to the
-    centres do not rule out are checked too; until then stars go on.  So the star
-    loses no link.
+    settle are pairs of one bucket that are still in different components.  Those
+    buckets are dealt anew by prefixes: under one centre, shingles that the centre
+    lacks come before those that it has, and two sets can only be similar enough if
+    they share one of their first shingles in that order.  Copies that were changed
+    in different places share none of them, however many there are.  Stars go on in
+    the new buckets until the pairs left are few enough (PAIRS_PER_DOC); those that
+    sizes, places in the order and distances to the centres do not rule out are
+    checked too.  All of this is exact, so no candidate link is lost.
 
     Null and empty texts, and texts without words, have an empty set and stay alone;
     rows that repeat an id (null is an id) are one document with the greatest text;
@@ -168,7 +172,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         """Sets of these sizes can be similar enough."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    open_members, stars = open_members.withColumn("ds", F.array().cast("array<double>")), 0
+    def unsettled(members: DataFrame) -> DataFrame:
+        """Buckets with more than one label: rows, the most frequent label, pairs across labels."""
+        counts = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+        pairs = F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs")
+        return stored(counts.agg(F.sum("c").alias("members"), F.max_by("label", F.struct("c", "label")).alias("main"), pairs).where("pairs > 0"), "unsettled")
+
+    def by_prefix(members: DataFrame) -> DataFrame:
+        """``members`` in a bucket for each centre and shingle of their prefix."""
+        own = members.select("rep", "n", "label", "c", "ds").distinct().join(sets.withColumnRenamed("_id", "rep"), "rep")
+        both = own.join(sets.select(F.col("_id").alias("c"), F.col("set").alias("around")), "c")
+        ordered = F.concat(F.array_except("set", "around"), F.array_intersect("set", "around"))
+        length = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
+        placed = both.select("rep", "n", "label", "c", "ds", F.posexplode(F.slice(ordered, F.lit(1), length)).alias("at", "first"))
+        return stored(placed.select(F.xxhash64("c", "first").alias("key"), "rep", "n", "label", "at", "ds"), "prefixes")
+
+    open_members = open_members.withColumn("at", F.lit(0)).withColumn("ds", F.array().cast("array<double>"))
+    stars = 0
     while n_open:
         centres = stored(open_members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"), F.count("*").alias("members"))
                          .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres")
@@ -177,23 +197,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         sims = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
         labels, stars = components(sims.where("link")), stars + 1
         known = star.join(sims.select("a", "b", "d"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
-        known = known.select("key", "rep", "n", F.concat("ds", F.array("d")).alias("ds"))
+        known = known.select("key", "rep", "n", "c", "at", F.concat("ds", F.array("d")).alias("ds"))
         named = stored(known.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
-        counts = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
-        unsettled = stored(counts.agg(F.sum("c").alias("members"), F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs")).where("pairs > 0"), "unsettled")
-        left = unsettled.agg(F.sum("pairs")).first()[0] or 0
+        mixed = unsettled(named)
+        if stars == 1:
+            named = by_prefix(named.join(mixed.select("key"), "key", "left_semi"))
+            mixed = unsettled(named)
+        left, rows_left = mixed.agg(F.sum("pairs"), F.sum("members")).first()
         if not left:
             break
-        still = named.join(unsettled.select("key"), "key", "left_semi")
+        still = stored(salted_join(named, mixed.select("key", "members", "main"), ["key"], "members", rows_left).drop("members"), "still")
         if left <= PAIRS_PER_DOC ** (1 + stars) * n_open:
-            other = still.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("ds").alias("db"))
+            rare = still.where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("at").alias("ata"), F.col("ds").alias("da"))
+            # the first shingle that both have leaves room for a large enough intersection
+            room = F.least(F.col("na") - F.col("ata"), F.col("n") - F.col("at")) * (100 + percent) >= (F.col("na") + F.col("n")) * percent
             # 1 - Jaccard is a metric: two that are close are about as far from any centre
-            apart = F.exists(F.zip_with("ds", "db", lambda x, y: F.abs(x - y)), lambda x: x > 1 - percent / 100 + 1e-9)
-            both = still.withColumnRenamed("rep", "a").join(other, "key").where((F.col("label") < F.col("lb")) & fits("n", "nb") & ~F.coalesce(apart, F.lit(False)))
-            sims = check(both.select("a", "b"))
+            apart = F.exists(F.zip_with("da", "ds", lambda x, y: F.abs(x - y)), lambda x: x > 1 - percent / 100 + 1e-9)
+            once = (F.col("la") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("la") < F.col("label")))
+            both = rare.join(still, "key").where(once & room & fits("na", "n") & ~F.coalesce(apart, F.lit(False)))
+            sims = check(both.select("a", F.col("rep").alias("b")))
             labels = components(sims.where("link"))
             break
-        open_members = stored(still.select("key", "rep", "n", "ds"), "members")
+        open_members = still.select("key", "rep", "n", "at", "ds")
 
     of_class = classes.select("digest", "size", "rep")
     if labels is None:
