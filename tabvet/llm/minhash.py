@@ -16,7 +16,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Pairs between components that are taken up at once, for each document in a bucket:
 #: this to the power of 1 and the number of stars, as each star rules out more of them.
-PAIRS_PER_DOC = 16
+PAIRS_PER_DOC = 8
 _EMPTY = np.uint64(2**64 - 1)
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -126,13 +126,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Documents with the same set are one class from the start.  Classes that share
     a bucket are candidates; 32 bands of 4 leave a pair at 0.8 apart in all of them
-    with probability 5e-8.  In each bucket one class is the centre of a star and is
-    checked against all others on full sets, so candidates are as many as bucket
-    members and never all pairs; then it leaves the bucket.  What the star cannot
-    settle are pairs of one bucket that are still in different components.  As soon
-    as these are few enough (PAIRS_PER_DOC), those that their distances to the
-    centres do not rule out are checked too; until then stars go on.  So the star
-    loses no link.
+    with probability 5e-8.  In each bucket the class with the fullest buckets is the
+    centre of a star and is checked against all others on full sets, so candidates
+    are as many as bucket members and never all pairs; then it leaves the bucket.
+    What the star cannot settle are pairs of one bucket that are still in different
+    components.  Shingles that only one of their sets holds are in no intersection;
+    a set with too few others can have no link and leaves too.  As soon as the pairs
+    that remain are few enough (PAIRS_PER_DOC), those that their distances to the
+    centres do not rule out are checked; until then stars go on.  So the star loses
+    no link.
 
     Null and empty texts, and texts without words, have an empty set and stay alone;
     rows that repeat an id (null is an id) are one document with the greatest text;
@@ -145,7 +147,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     placed = classes.select("rep", "n", F.explode("keys").alias("key"))
     buckets = stored(placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     n_placed = classes.count() * BANDS
-    open_members = stored(salted_join(placed, buckets, ["key"], "members", n_placed).select("key", "rep", "n"), "members")
+    open_members = stored(salted_join(placed, buckets, ["key"], "members", n_placed).select("key", "rep", "n", "members"), "members")
     in_bucket = open_members.select(F.col("rep").alias("_id")).distinct()
     sets = stored(rows.join(in_bucket, "_id", "left_semi").mapInArrow(_sets(shingle), "_id long, set array<long>"), "sets")
     n_open = sets.count()
@@ -161,39 +163,72 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         two = one.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("sb")), "b")
         shared = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
         union = F.col("total") - F.col("i")
-        new = stored(shared.select("a", "b", (1 - F.col("i") / union).alias("d"), (F.col("i") * 100 >= union * percent).alias("link")), "sims")
+        new = stored(shared.select("a", "b", F.struct((1 - F.col("i") / union).alias("d"), F.col("i").cast("long").alias("i")).alias("to"), (F.col("i") * 100 >= union * percent).alias("link")), "sims")
         return new if sims is None else sims.unionByName(new)
 
     def fits(a: str, b: str):
         """Sets of these sizes can be similar enough."""
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    open_members, stars = open_members.withColumn("ds", F.array().cast("array<double>")), 0
+    def reaches(own, n, other):
+        """``own`` shared shingles are enough for a link of sets of ``n`` and ``other``."""
+        return own * (100 + percent) >= (n + other) * percent
+
+    def able(rows: DataFrame, used: DataFrame) -> DataFrame:
+        """``rows`` with ``own``, the shingles of a set that another set of ``rows`` or of
+        ``used`` holds too, less those that can have no link with even the smallest set
+        of their bucket."""
+        holders = rows.select(F.col("rep").alias("_id")).union(used).distinct()
+        held = sets.join(holders, "_id", "left_semi").select("_id", F.explode("set").alias("s"))
+        single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("single"))
+        rows = rows.join(single, "rep", "left").withColumn("own", F.col("n") - F.coalesce("single", F.lit(0))).drop("single")
+        rows = stored(rows.where(reaches(F.col("own"), F.col("n"), F.col("n") * percent / 100)), "able")
+        least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members"))
+        n_rows = least.agg(F.sum("members")).first()[0] or 0
+        return salted_join(rows, least, ["key"], "members", n_rows).where(reaches(F.col("own"), F.col("n"), F.col("least"))).drop("least", "members")
+
+    def between(rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` whose bucket holds more than one component."""
+        labels_in = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return rows.join(labels_in.where("lo < hi").select("key"), "key", "left_semi")
+
+    crowds = open_members.groupBy("rep").agg(F.sum("members").alias("crowd"))
+    open_members, stars = open_members.drop("members").join(crowds, "rep").withColumn("to", F.array().cast("array<struct<d:double,i:bigint>>")), 0
+    used = None
     while n_open:
-        centres = stored(open_members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"), F.count("*").alias("members"))
+        centres = stored(open_members.groupBy("key").agg(F.max(F.struct("crowd", F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"), F.count("*").alias("members"))
                          .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres")
         total = centres.agg(F.sum("members")).first()[0] or 0
         star = salted_join(open_members, centres, ["key"], "members", total).where(F.col("rep") != F.col("c"))
         sims = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
         labels, stars = components(sims.where("link")), stars + 1
-        known = star.join(sims.select("a", "b", "d"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
-        known = known.select("key", "rep", "n", F.concat("ds", F.array("d")).alias("ds"))
+        centre_ids = centres.select(F.col("c").alias("_id")).distinct()
+        used = centre_ids if used is None else used.union(centre_ids)
+        known = star.withColumnRenamed("to", "before").join(sims.select("a", "b", "to"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
+        known = known.select("key", "rep", "n", "crowd", F.concat("before", F.array("to")).alias("to"))
         named = stored(known.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
-        counts = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
-        unsettled = stored(counts.agg(F.sum("c").alias("members"), F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs")).where("pairs > 0"), "unsettled")
-        left = unsettled.agg(F.sum("pairs")).first()[0] or 0
+        still = able(between(named), used)
+        still = stored(between(still), "still")
+        pairs = still.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs"))
+        left = pairs.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        still = named.join(unsettled.select("key"), "key", "left_semi")
         if left <= PAIRS_PER_DOC ** (1 + stars) * n_open:
-            other = still.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("ds").alias("db"))
-            # 1 - Jaccard is a metric: two that are close are about as far from any centre
-            apart = F.exists(F.zip_with("ds", "db", lambda x, y: F.abs(x - y)), lambda x: x > 1 - percent / 100 + 1e-9)
-            both = still.withColumnRenamed("rep", "a").join(other, "key").where((F.col("label") < F.col("lb")) & fits("n", "nb") & ~F.coalesce(apart, F.lit(False)))
+            other = still.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("own").alias("ob"), F.col("to").alias("tb"))
+
+            def rules_out(x, y):
+                """A centre at ``x`` and ``y`` from two sets shows that they are not similar:
+                1 - Jaccard is a metric, so two that are close are about as far from it;
+                what they share is in it or, outside it, among what others hold too."""
+                common = F.least(x["i"], y["i"]) + F.least(F.col("own") - x["i"], F.col("ob") - y["i"])
+                return (F.abs(x["d"] - y["d"]) > 1 - percent / 100 + 1e-9) | ~reaches(common, F.col("n"), F.col("nb"))
+
+            apart = F.exists(F.zip_with("to", "tb", rules_out), lambda x: x)
+            both = still.withColumnRenamed("rep", "a").join(other, "key").where((F.col("label") < F.col("lb")) & fits("n", "nb") & reaches(F.least("own", "ob"), F.col("n"), F.col("nb")) & ~F.coalesce(apart, F.lit(False)))
             sims = check(both.select("a", "b"))
             labels = components(sims.where("link"))
             break
-        open_members = stored(still.select("key", "rep", "n", "ds"), "members")
+        open_members = still.select("key", "rep", "n", "crowd", "to")
 
     of_class = classes.select("digest", "size", "rep")
     if labels is None:
