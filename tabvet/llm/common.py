@@ -74,15 +74,18 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
     ``groups[size]`` is the number of rows that hold the key and ``n_rows`` their
     total.  At most HOT_SHARE keys can hold more than ``n_rows / HOT_SHARE`` rows,
-    so the list of hot keys is bounded and is broadcast; rows of a hot key get one
-    of as many salts as there are shuffle partitions, and its group one copy a salt.
+    so the hashes of the hot keys are a bounded list that goes into the plan; rows of
+    a hot hash get one of as many salts as there are shuffle partitions, and its
+    groups one copy a salt.
     """
     salts = partitions(rows.sparkSession)
-    hot_size = max(1, n_rows // HOT_SHARE)
-    hot = groups.where(F.col(size) > hot_size).select(*keys).withColumn("_hot", F.lit(True))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts))).otherwise(0)
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    hashed = F.xxhash64(*[F.col(k) for k in keys])
+    hot = [r[0] for r in groups.where(F.col(size) > max(1, n_rows // HOT_SHARE)).select(hashed).distinct().collect()]
+    if not hot:
+        return rows.join(groups, keys)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts))
+    left = rows.withColumn("_salt", F.when(hashed.isin(hot), salt).otherwise(0).cast("int"))
     right = groups.withColumn(
-        "_salt", F.explode(F.when(F.col(size) > hot_size, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.when(hashed.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     return left.join(right, [*keys, "_salt"]).drop("_salt")
