@@ -28,6 +28,12 @@ def tokens(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def literal(text: Column) -> Column:
+    """The same tokens in lower case."""
+    spaced = F.lower(F.btrim(F.regexp_replace(text, _TOKENS, " ")))
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+
+
 def template(text: Column) -> Column:
     """The same tokens with placeholders: ``#n`` for what starts with a digit, ``#p`` for
     what starts with a capital, ``#u`` for units; others in lower case."""
@@ -45,12 +51,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """``doc_id, item_id, matched, share``: items of ``benchmark(item_id, text)`` that documents hold.
 
     Numbers, capitalised words and units become typed placeholders, so a question
-    with other values keeps its template.  Windows of template tokens are joined by
-    hash and then compared; of the matches of one document and item at one distance,
-    each slot value of the item must have one value in the document throughout.
-    A window of which more than half are placeholders says little: there the tokens
-    must be the same, but for case.  ``matched`` counts the item's windows that are
-    left; pairs with less than ``share`` of them are not returned.
+    with other values keeps its template.  Windows of template tokens and windows of
+    the tokens in lower case are joined by hash and then compared.  A window whose
+    tokens are the same but for case matches, whatever its template.  Of the windows
+    of one document and item at one distance that match by template alone, each slot
+    value of the item must have one value in the document throughout.  A window of
+    which more than half are placeholders says little: there the tokens must be the
+    same, but for case.  ``matched`` counts the item's windows that are left; pairs
+    with less than ``share`` of them are not returned.
 
     Documents are cut to the windows that an item has before anything is shuffled.
     Null and empty texts, and items without a token, match nothing; repeated ids are
@@ -62,45 +70,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     places = items.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))))
     item_windows = stored(
         places.select("item_id", "j", "size", _window(F.col("words"), F.col("j"), F.col("size")).alias("item_words"),
-                      _window(F.col("forms"), F.col("j"), F.col("size")).alias("item_forms")).withColumn("h", F.xxhash64("item_forms")), "items")
+                      _window(F.col("forms"), F.col("j"), F.col("size")).alias("item_forms")).withColumn("item_lower", F.transform("item_words", F.lower)), "items")
     sizes = [r["size"] for r in item_windows.select("size").distinct().collect()]  # at most ``window`` numbers
     n_windows = item_windows.count()
     item_sizes = items.select("item_id", (F.size("words") - F.col("size") + 1).alias("n_windows"))
 
     rows = one_row_per_id(docs, id_col, text_col)
 
+    def hashes(forms: Column, lower: Column) -> Column:
+        """Of the template and of the lower-cased tokens; one where they are the same."""
+        return F.array_distinct(F.array(F.xxhash64(forms), F.xxhash64(lower)))
+
     def of_size(size: int) -> Column:
         last = F.size("forms") - size
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("forms", i + 1, size)).alias("h"))))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("i"), hashes(F.slice("forms", i + 1, size), F.slice("lower", i + 1, size)).alias("hs"))))
 
-    forms = rows.select("_id", template(F.col("_text")).alias("forms"))
+    forms = rows.select("_id", template(F.col("_text")).alias("forms"), literal(F.col("_text")).alias("lower"))
     cut = None
     for size in sizes:
-        one = forms.select("_id", F.explode(of_size(size)).alias("w")).select("_id", F.col("w.i").alias("i"), F.col("w.h").alias("h"))
+        one = forms.select("_id", F.explode(of_size(size)).alias("w")).select("_id", F.col("w.i").alias("i"), F.explode("w.hs").alias("h"))
         cut = one if cut is None else cut.unionByName(one)
     pairs = "_id long, i int, item_id long, j int"
     if cut is None:
         hits = stored(docs.sparkSession.createDataFrame([], pairs), "hits")
     else:
-        keys = item_windows.select("h", "item_id", "j")
+        keys = item_windows.select(F.explode(hashes(F.col("item_forms"), F.col("item_lower"))).alias("h"), "item_id", "j")
         hits = stored(cut.join(F.broadcast(keys) if n_windows <= BROADCAST_WINDOWS else keys, "h").select("_id", "i", "item_id", "j"), "hits")
 
     # the tokens of the documents that matched, and of the windows
-    of_doc = hits.groupBy("_id").agg(F.collect_list(F.struct("i", "item_id", "j")).alias("hits"))  # bounded by the document and the benchmark
-    both = rows.join(of_doc, "_id").select("_id", tokens(F.col("_text")).alias("words"), template(F.col("_text")).alias("forms"), "hits")
+    of_doc = hits.groupBy("_id").agg(F.collect_set(F.struct("i", "item_id", "j")).alias("hits"))  # bounded by the document and the benchmark
+    both = rows.join(of_doc, "_id").select("_id", literal(F.col("_text")).alias("words"), template(F.col("_text")).alias("forms"), "hits")
     each = both.select("_id", F.explode(F.transform("hits", lambda x: F.struct(
         x["i"].alias("i"), x["item_id"].alias("item_id"), x["j"].alias("j"),
         F.slice("words", x["i"] + 1, window).alias("words"), F.slice("forms", x["i"] + 1, window).alias("forms")))).alias("x")).select("_id", "x.*")
-    known = F.broadcast(item_windows.drop("h")) if n_windows <= BROADCAST_WINDOWS else item_windows.drop("h")
+    known = F.broadcast(item_windows) if n_windows <= BROADCAST_WINDOWS else item_windows
     same = each.join(known, ["item_id", "j"]).withColumn("words", F.slice("words", 1, F.col("size"))).withColumn("forms", F.slice("forms", 1, F.col("size")))
     slots = F.filter(F.arrays_zip(F.col("item_forms").alias("f"), F.col("item_words").alias("a"), F.col("words").alias("b")), lambda s: s["f"].startswith("#"))
-    lower = lambda c: F.transform(c, F.lower)
-    same = same.where(F.col("forms") == F.col("item_forms")).withColumn("slots", F.transform(slots, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
-    same = same.where((F.size("slots") * 2 <= F.col("size")) | (lower(F.col("words")) == lower(F.col("item_words"))))
+    same = same.withColumn("exact", F.col("words") == F.col("item_lower")).where(F.col("exact") | (F.col("forms") == F.col("item_forms")))
+    same = same.withColumn("slots", F.transform(slots, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
+    same = same.where(F.col("exact") | (F.size("slots") * 2 <= F.col("size")))
     line = ["_id", "item_id", (F.col("i") - F.col("j")).alias("shift")]
-    by_line = same.groupBy(*line).agg(F.collect_set("j").alias("js"), F.flatten(F.collect_set("slots")).alias("slots"))  # bounded by the item
+    by_line = same.groupBy(*line).agg(  # bounded by the item
+        F.collect_set(F.when(F.col("exact"), F.col("j"))).alias("exact"), F.collect_set("j").alias("js"), F.flatten(F.collect_set("slots")).alias("slots"))
     values = F.array_distinct("slots")
-    steady = by_line.where(F.size(values) == F.size(F.array_distinct(F.transform(values, lambda s: s["a"]))))
-    matched = steady.select("_id", "item_id", F.explode("js").alias("j")).groupBy("_id", "item_id").agg(F.count_distinct("j").alias("matched"))
+    steady = F.size(values) == F.size(F.array_distinct(F.transform(values, lambda s: s["a"])))
+    counted = by_line.select("_id", "item_id", F.explode(F.when(steady, F.col("js")).otherwise(F.col("exact"))).alias("j"))
+    matched = counted.groupBy("_id", "item_id").agg(F.count_distinct("j").alias("matched"))
     part = F.col("matched") / F.col("n_windows")
     return matched.join(item_sizes, "item_id").where(part >= share).select(outer_id().alias("doc_id"), outer_id("item_id").alias("item_id"), "matched", part.alias("share"))

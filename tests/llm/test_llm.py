@@ -209,3 +209,10 @@ def test_pipeline(spark):
     columns = docs.columns
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, docs, SF_SMALL).columns == columns, name
+
+
+def test_contamination_in_another_letter_case(spark):
+    item = "The quick brown fox jumps over a lazy dog while Anna and Berta watch from the old wooden bridge"
+    docs = spark.createDataFrame([(1, item.upper()), (2, "so " + item.lower()), (3, item), (4, "NOTHING OF THIS KIND IS IN HERE AT ALL")], "doc_id long, text string")
+    found = contamination(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["share"]) for r in found.collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
