@@ -111,8 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """``labels``: ``doc_id`` and ``label`` (0 or 1, others are left out) of rows to learn from.
 
     At most ``max_labelled`` rows of each class are taken, so their ids are few
-    enough to broadcast and the texts are not shuffled.  Log-odds are of documents
-    that hold a token.
+    enough to broadcast; copies among their texts, the same but for case and white
+    space, count once.  Log-odds are of documents that hold a token.
     """
     spark = docs.sparkSession
     named = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -136,10 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             for form in _forms(tokens):
                 yield pa.RecordBatch.from_arrays([form, pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())], names=["token", "clean", "toxic"])
 
-    # copies say nothing new: of documents with the same least word pair one is counted
-    words = F.split(F.lower("text"), r"\s+")
-    pair = F.array_min(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b)))
-    apart = rows.groupBy("label", pair.alias("pair")).agg(F.max("text").alias("text")).select("label", "text")
+    # copies say nothing new: of texts that are the same but for case and white space one is counted
+    same = F.sha2(F.btrim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
+    apart = rows.groupBy("label", same.alias("same")).agg(F.max("text").alias("text")).select("label", "text")
     counts = apart.mapInArrow(count, "token string, clean long, toxic long").where("token is not null and token <> ''").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = counts.where("not endswith(token, '*')").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     n0, n1 = float(total["clean"] or 0), float(total["toxic"] or 0)

@@ -23,7 +23,7 @@ from tabvet.llm.packing import best_two_fit, cut, pack
 from tabvet.llm.substring import dedup_units
 from tabvet.llm.suffix import multikey_quicksort, repeated_strings
 from tabvet.llm.tokens import Encoder, vocabulary
-from tabvet.llm.toxicity import segments
+from tabvet.llm.toxicity import segments, train as train_toxicity
 
 from ..conftest import SF_SMALL
 
@@ -216,3 +216,10 @@ def test_contamination_in_another_letter_case(spark):
     docs = spark.createDataFrame([(1, item.upper()), (2, "so " + item.lower()), (3, item), (4, "NOTHING OF THIS KIND IS IN HERE AT ALL")], "doc_id long, text string")
     found = contamination(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
     assert sorted((r["doc_id"], r["share"]) for r in found.collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+
+
+def test_labelled_texts_with_a_common_passage_all_count(spark):
+    common = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(k, f"{common} {'vile' if k % 2 else 'nice'} t{k}") for k in range(80)], "doc_id long, text string")
+    model = train_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("label")))
+    assert "vile" in model.scores and "nice" not in model.scores
