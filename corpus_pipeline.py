@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabvet.llm import toxicity
-from tabvet.llm.common import NULL_ID, one_document_per_id, stored, table
+from tabvet.llm.common import NULL_ID, one_document_per_text, stored, table
 from tabvet.llm.decontaminate import contamination
 from tabvet.llm.exact_dedup import exact_duplicates
 from tabvet.llm.minhash import near_duplicates
@@ -23,9 +23,9 @@ TOXIC = 0.7
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the ids in ``dropped``, null as an id; columns and other rows stay."""
+    """``docs`` less the inner keys (``_row``, as ``doc_id``) in ``dropped``; the other columns and rows stay."""
     ids = dropped.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_dropped")).distinct()
-    return docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("_dropped"), "left_anti")
+    return docs.join(ids, docs["_row"] == F.col("_dropped"), "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,21 +41,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of equal texts; rows that repeat an id are one before."""
-    docs = one_document_per_id(docs)
-    return _without(docs, exact_duplicates(docs).where(~F.col("kept")))
+    """One row of each class of equal texts; rows equal in id and text are one before."""
+    docs = one_document_per_text(docs)
+    return _without(docs, exact_duplicates(docs, id_col="_row").where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: five-word shingles, similarity 0.8."""
-    docs = one_document_per_id(docs)
-    return _without(docs, near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")))
+    docs = one_document_per_text(docs)
+    return _without(docs, near_duplicates(docs, shingle=5, percent=80, id_col="_row").where(~F.col("kept")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of ``benchmark``."""
-    docs = one_document_per_id(docs)
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")))
+    docs = one_document_per_text(docs)
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark"), id_col="_row"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rownum import number_rows
 from ..session import scratch_path
 
 #: Stands for a null id inside an operator; restored to null in its result.
@@ -30,30 +31,46 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_and_text`` with one row for each id.
+def _unique(ids: DataFrame) -> bool:
+    n = ids.agg(F.count("*").alias("n"), F.count_distinct("_id").alias("d")).first()
+    return n["n"] == n["d"]
 
-    An id names a document.  Rows that repeat an id (null is an id here) are one
-    document whose text is the greatest of theirs.  Where ids are unique, which
-    is tested on the id column alone, the texts are not shuffled.
+
+def one_row_per_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """``id_and_text`` with one row for each id and text, and the ids by inner key.
+
+    Rows that are equal in id (null is an id) and text are one document; rows that
+    share an id alone are not.  Where ids are unique, which is tested on the id column
+    alone, they are the keys: the texts are not shuffled and there is no second table.
+    Otherwise ``_id`` is a row number in the order of ids, written once, and the second
+    table has the id (``_outer``) of each.
     """
     rows = id_and_text(docs, id_col, text_col)
-    n = rows.select("_id").agg(F.count("*").alias("n"), F.count_distinct("_id").alias("d")).first()
-    if n["n"] == n["d"]:
-        return rows
-    return rows.groupBy("_id").agg(F.max("_text").alias("_text"))
+    if _unique(rows.select("_id")):
+        return rows, None
+    rows = rows.groupBy("_id", "_text").agg(F.xxhash64("_text").alias("_h")).withColumnRenamed("_id", "_outer")
+    rows = number_rows(rows, ["_outer", "_h"], "_id")
+    return rows.select("_id", "_text"), rows.select("_id", "_outer")
+
+
+def with_ids(rows: DataFrame, ids: DataFrame | None, key: str = "_id", name: str = "doc_id") -> DataFrame:
+    """``rows`` with ``name``, the id of the inner key ``key`` as the caller knows it."""
+    if ids is None:
+        return rows.withColumn(name, outer_id(key))
+    ids = ids.select(F.col("_id").alias("_named"), outer_id("_outer").alias(name))
+    return rows.join(ids, F.col(key) == F.col("_named")).drop("_named")
 
 
-def one_document_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole rows, one for each id as in ``one_row_per_id``; unchanged where ids are unique."""
+def one_document_per_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows, one for each id and text as in ``one_row_per_text``, with the inner key ``_row``."""
     ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    n = docs.select(ids.alias("_id")).agg(F.count("*").alias("n"), F.count_distinct("_id").alias("d")).first()
-    if n["n"] == n["d"]:
-        return docs
+    if _unique(docs.select(ids.alias("_id"))):
+        return docs.withColumn("_row", ids)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     order = [F.xxhash64(F.to_json(F.struct(F.col(f"`{c}`")))) for c in docs.columns]
-    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(text, *order))
-    return docs.groupBy(ids.alias("_key")).agg(best.alias("_row")).select("_row.*")
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*order))
+    rows = docs.groupBy(ids.alias("_key"), text.alias("_text")).agg(best.alias("_best")).select("_best.*", "_key", F.xxhash64("_text").alias("_h"))
+    return number_rows(rows, ["_key", "_h"], "_row").drop("_key", "_h")
 
 
 def outer_id(name: str = "_id") -> Column:

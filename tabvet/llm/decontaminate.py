@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_id, outer_id, stored
+from .common import one_row_per_text, stored, with_ids
 
 #: Tokens of a window; a shorter item is one window as a whole.
 WINDOW = 8
@@ -61,11 +61,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     with less than ``share`` of them are not returned.
 
     Documents are cut to the windows that an item has before anything is shuffled.
-    Null and empty texts, and items without a token, match nothing; repeated ids are
-    one row with the greatest text (null is an id); empty tables give an empty
-    result; other columns are not read.
+    Null and empty texts, and items without a token, match nothing; rows equal in id
+    (null is an id) and text are one, others that repeat an id are judged one by one;
+    empty tables give an empty result; other columns are not read.
     """
-    items = one_row_per_id(benchmark, "item_id", "text").select(F.col("_id").alias("item_id"), tokens(F.col("_text")).alias("words"), template(F.col("_text")).alias("forms"))
+    items, item_ids = one_row_per_text(benchmark, "item_id", "text")
+    items = items.select(F.col("_id").alias("item_id"), tokens(F.col("_text")).alias("words"), template(F.col("_text")).alias("forms"))
     items = items.where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(window)))
     places = items.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))))
     item_windows = stored(
@@ -73,9 +74,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                       _window(F.col("forms"), F.col("j"), F.col("size")).alias("item_forms")).withColumn("item_lower", F.transform("item_words", F.lower)), "items")
     sizes = [r["size"] for r in item_windows.select("size").distinct().collect()]  # at most ``window`` numbers
     n_windows = item_windows.count()
-    item_sizes = items.select("item_id", (F.size("words") - F.col("size") + 1).alias("n_windows"))
+    item_sizes = with_ids(items, item_ids, "item_id", "outer_item").select("item_id", "outer_item", (F.size("words") - F.col("size") + 1).alias("n_windows"))
 
-    rows = one_row_per_id(docs, id_col, text_col)
+    rows, ids = one_row_per_text(docs, id_col, text_col)
 
     def hashes(forms: Column, lower: Column) -> Column:
         """Of the template and of the lower-cased tokens; one where they are the same."""
@@ -117,4 +118,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     counted = by_line.select("_id", "item_id", F.explode(F.when(steady, F.col("js")).otherwise(F.col("exact"))).alias("j"))
     matched = counted.groupBy("_id", "item_id").agg(F.count_distinct("j").alias("matched"))
     part = F.col("matched") / F.col("n_windows")
-    return matched.join(item_sizes, "item_id").where(part >= share).select(outer_id().alias("doc_id"), outer_id("item_id").alias("item_id"), "matched", part.alias("share"))
+    found = matched.join(item_sizes, "item_id").where(part >= share)
+    return with_ids(found, ids).select("doc_id", F.col("outer_item").alias("item_id"), "matched", part.alias("share"))

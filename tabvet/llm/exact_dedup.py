@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_id, outer_id, partitions, salted_join, stored
+from .common import one_row_per_text, partitions, salted_join, stored, with_ids
 
 #: Deleted before texts are compared.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -143,12 +143,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hash and insert the full bytes.  The class then joins back to the narrow rows,
     hot classes split by salt.
 
-    Null text counts as empty, and empty texts are one class; rows that repeat an
-    id (null is an id) are one document with the greatest text; ties go to the
-    smallest id; an empty table gives an empty result; other columns are not read.
+    Null text counts as empty, and empty texts are one class; rows equal in
+    id (null is an id) and text are one document, others that repeat an id are documents
+    of their own; ties go to the smallest id; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = one_row_per_id(docs, id_col, text_col)
+    rows, ids = one_row_per_text(docs, id_col, text_col)
 
     def combine(batches):
         import pyarrow as pa
@@ -219,7 +219,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = stored(owned.mapInArrow(own, "digest binary, keep long, group_size long"), "exact")
     n = groups.agg(F.sum("group_size")).first()[0] or 0
     member = rows.select("_id", body).mapInArrow(digests, "_id long, digest binary")
-    return salted_join(member, groups, ["digest"], "group_size", n).select(
-        outer_id().alias("doc_id"), outer_id("keep").alias("keep_id"), "group_size",
+    groups = with_ids(groups, ids, "keep", "keep_id")
+    return with_ids(salted_join(member, groups, ["digest"], "group_size", n), ids).select(
+        "doc_id", "keep_id", "group_size",
         (F.col("_id") == F.col("keep")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )

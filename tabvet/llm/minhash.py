@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_id, outer_id, salted_join, stored
+from .common import one_row_per_text, outer_id, salted_join, stored, with_ids
 from .links import components
 from .words import mix, word_hashes
 
@@ -137,10 +137,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     no link.
 
     Null and empty texts, and texts without words, have an empty set and stay alone;
-    rows that repeat an id (null is an id) are one document with the greatest text;
-    an empty table gives an empty result; other columns are not read.
+    rows equal in id (null is an id) and text are one document, others that repeat an
+    id are documents of their own; an empty table gives an empty result; other columns are not read.
     """
-    rows = one_row_per_id(docs, id_col, text_col).select("_id", F.col("_text").cast("binary").alias("body"))
+    rows, ids = one_row_per_text(docs, id_col, text_col)
+    rows = rows.select("_id", F.col("_text").cast("binary").alias("body"))
     sketches = stored(rows.mapInArrow(_sketch(shingle), "_id long, n long, digest binary, keys array<long>"), "sketches")
     filled = sketches.where("n > 0")
     classes = stored(filled.groupBy("digest").agg(F.min("_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
@@ -238,6 +239,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     n_filled = classes.agg(F.sum("size")).first()[0] or 0
     grouped = salted_join(filled.select("_id", "n", "digest"), of_class.select("digest", "size", "label"), ["digest"], "size", n_filled)
     alone = sketches.where("n = 0").select("_id", "n", F.col("_id").alias("label"))
-    return grouped.select("_id", "n", "label").unionByName(alone).select(
-        outer_id().alias("doc_id"), F.col("n").alias("n_shingles"), outer_id("label").alias("component_id"), (F.col("_id") == F.col("label")).alias("kept")
-    )
+    out = grouped.select("_id", "n", "label").unionByName(alone)
+    if ids is None:
+        out = out.withColumn("component_id", outer_id("label"))
+    else:
+        out = stored(out, "components")
+        sizes = with_ids(out.groupBy("label").agg(F.count("*").alias("size")), ids, "label", "component_id")
+        out = salted_join(out, sizes, ["label"], "size", out.count())
+    return with_ids(out, ids).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("label")).alias("kept"))

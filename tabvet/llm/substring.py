@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_id, outer_id, salted_join, stored
+from .common import one_row_per_text, salted_join, stored, with_ids
 
 #: Shorter units are left alone.
 MIN_WORDS = 4
@@ -28,11 +28,12 @@ def dedup_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WOR
     ``removed`` lists start and length of the others in code points of the text.
 
     Digests are grouped before they are joined back, and rows of a hot digest are
-    salted.  Null text counts as empty, which is one unit; rows that repeat an id
-    (null is an id) are one document with the greatest text; an empty table gives an
+    salted.  Null text counts as empty, which is one unit; rows equal in id
+    (null is an id) and text are one document, others that repeat an id are documents
+    of their own; an empty table gives an
     empty result; other columns are not read.
     """
-    rows = one_row_per_id(docs, id_col, text_col)
+    rows, outer = one_row_per_text(docs, id_col, text_col)
 
     def digests(batches):
         import pyarrow as pa
@@ -76,4 +77,4 @@ def dedup_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WOR
     later = salted_join(units, repeated, ["digest"], "n", n).where((F.col("_id") != F.col("first._id")) | (F.col("place") != F.col("first.place")))
     gone = later.groupBy("_id").agg(F.collect_list("place").alias("places"))  # bounded by the document
     out = rows.join(gone, "_id", "left").mapInArrow(cut, "_id long, n_units long, n_removed long, kept string, removed array<struct<start:long,length:long>>")
-    return out.select(outer_id().alias("doc_id"), "n_units", "n_removed", "kept", "removed")
+    return with_ids(out, outer).select("doc_id", "n_units", "n_removed", "kept", "removed")

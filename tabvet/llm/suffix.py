@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_row_per_id, outer_id, partitions, stored
+from .common import one_row_per_text, partitions, stored, with_ids
 from .words import _powers, mix
 
 LENGTH, LEAD = 100, 16
@@ -206,12 +206,13 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     never cross documents.  ``kept`` are the other bytes in a row, ``removed`` the
     start and length of each maximal run that went.
 
-    Null text counts as empty, texts under LENGTH bytes stay whole; rows that repeat
-    an id (null is an id and comes first) are one document with the greatest text; an
-    empty table gives an empty result; other columns are not read.
+    Null text counts as empty, texts under LENGTH bytes stay whole; rows equal in
+    id (null is an id and comes first) and text are one document, others that repeat an
+    id are documents of their own; an empty table gives an empty result; other columns are not read.
     """
     n = partitions(docs.sparkSession)
-    rows = one_row_per_id(docs, id_col, text_col).select("_id", F.col("_text").cast("binary").alias("body"))
+    rows, outer = one_row_per_text(docs, id_col, text_col)
+    rows = rows.select("_id", F.col("_text").cast("binary").alias("body"))
 
     def suffixes(batches):
         import pyarrow as pa
@@ -285,4 +286,4 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     flagged = whole.select("_id", run.alias("run")).unionByName(windows.where(F.col("kind") == WHOLE).select("_id", single)).unionByName(ends.select("_id", single))
     runs = flagged.groupBy("_id").agg(F.collect_list("run").alias("runs"))  # bounded by the document
     out = rows.join(runs, "_id", "left").mapInArrow(cut, "_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,length:long>>")
-    return out.select(outer_id().alias("doc_id"), "n_bytes", "n_removed", "kept", "removed")
+    return with_ids(out, outer).select("doc_id", "n_bytes", "n_removed", "kept", "removed")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import one_row_per_id, outer_id, partitions
+from .common import one_row_per_text, outer_id, partitions
 from .tokens import encoded, vocabulary
 
 BLOCK = 128
@@ -133,8 +133,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the ids to ``path`` in ascending id order.
 
-    Null text counts as empty (``end_id`` alone); rows that repeat an id (null is
-    an id and comes first) are one document with the greatest text; an empty table
+    Null text counts as empty (``end_id`` alone); rows equal in id (null is
+    an id and comes first) and text are one document, others that repeat an id follow
+    each other; an empty table
     gives a folder without segments.  Other columns are not read.
     """
     spark, voc = docs.sparkSession, vocabulary_path or vocabulary()
@@ -165,8 +166,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
         if held:
             yield row()
 
-    rows = one_row_per_id(docs, id_col, text_col)
-    ordered = rows.repartitionByRange(partitions(spark), "_id").sortWithinPartitions("_id")
+    rows, outer = one_row_per_text(docs, id_col, text_col)
+    ordered = (rows if outer is None else rows.join(outer, "_id")).repartitionByRange(partitions(spark), "_id").sortWithinPartitions("_id")
+    if outer is not None:
+        ordered = ordered.select("_outer", "_text")
     ordered.mapInArrow(segments, SEGMENTS).write.parquet(path)
 
 

@@ -223,3 +223,24 @@ def test_labelled_texts_with_a_common_passage_all_count(spark):
     docs = spark.createDataFrame([(k, f"{common} {'vile' if k % 2 else 'nice'} t{k}") for k in range(80)], "doc_id long, text string")
     model = train_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("label")))
     assert "vile" in model.scores and "nice" not in model.scores
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = [(None, "the first of three texts without an id"), (None, "and a second one that is nothing like it"), (None, "and a second one that is nothing like it"),
+             (None, ""), (7, "seven has two texts and this is one"), (7, "while that is the other of them"), (8, "while that is the other of them")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    distinct = sorted(set(texts), key=str)
+    assert sorted([(r["doc_id"], r["kept"]) for r in dedup_units(docs).collect()], key=str) == sorted([(i, t if i != 8 else "") for i, t in distinct], key=str)
+    assert sorted((r["n_bytes"] for r in repeated_strings(docs).collect())) == sorted(len(t) for _, t in distinct)
+    exact = [(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_duplicates(docs).collect()]
+    near = [(r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()]
+    assert sorted(exact, key=str) == sorted([(None, None, 1)] * 3 + [(7, 7, 1), (7, 7, 2), (8, 7, 2)], key=str)
+    assert sorted(near, key=str) == sorted([(None, None)] * 3 + [(7, 7), (7, 7), (8, 7)], key=str)
+    token_blocks.write_tokens(docs, str(tmp_path / "tokens"))
+    assert sorted(r["doc_id"] or 0 for r in token_blocks.read_tokens(spark, str(tmp_path / "tokens")).collect()) == [0, 0, 0, 7, 7, 8]
+    found = contamination(docs, spark.createDataFrame([(1, texts[0][1]), (1, texts[1][1])], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(None, 1)] * 2
+    left = [tuple(r) for r in P.drop_near_copies(spark, P.drop_copies(spark, docs, ""), "").collect()]
+    assert sorted(left, key=str) == [x for x in distinct if x[0] != 8]
