@@ -16,6 +16,8 @@ UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ml l litre litres liter liters "
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
 ).split()
+#: An item with fewer different tokens that are no placeholders is not found by its template as a whole.
+LEAST_LITERALS = 2
 #: Item windows up to this number are broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 
@@ -56,8 +58,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     tokens are the same but for case matches, whatever its template.  Of the windows
     of one document and item at one distance that match by template alone, each slot
     value of the item must have one value in the document throughout.  A window of
-    which more than half are placeholders says little: there the tokens must be the
-    same, but for case.  ``matched`` counts the item's windows that are left; pairs
+    which more than half are placeholders says little by its template alone.  It counts
+    if all windows of the item match at that distance, with one value a slot throughout
+    (and the item has LEAST_LITERALS).  If not all do, but those that do agree and some
+    of them are no such windows, it cannot decide and is not among the windows that
+    ``share`` is taken of.  ``matched`` counts the item's windows that are left; pairs
     with less than ``share`` of them are not returned.
 
     Documents are cut to the windows that an item has before anything is shuffled.
@@ -74,7 +79,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                       _window(F.col("forms"), F.col("j"), F.col("size")).alias("item_forms")).withColumn("item_lower", F.transform("item_words", F.lower)), "items")
     sizes = [r["size"] for r in item_windows.select("size").distinct().collect()]  # at most ``window`` numbers
     n_windows = item_windows.count()
-    item_sizes = with_ids(items, item_ids, "item_id", "outer_item").select("item_id", "outer_item", (F.size("words") - F.col("size") + 1).alias("n_windows"))
+    item_sizes = with_ids(items, item_ids, "item_id", "outer_item").select(
+        "item_id", "outer_item", (F.size("words") - F.col("size") + 1).alias("n_windows"),
+        F.size(F.array_distinct(F.filter("forms", lambda x: ~x.startswith("#")))).alias("literals"))
 
     rows, ids = one_row_per_text(docs, id_col, text_col)
 
@@ -109,14 +116,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     slots = F.filter(F.arrays_zip(F.col("item_forms").alias("f"), F.col("item_words").alias("a"), F.col("words").alias("b")), lambda s: s["f"].startswith("#"))
     same = same.withColumn("exact", F.col("words") == F.col("item_lower")).where(F.col("exact") | (F.col("forms") == F.col("item_forms")))
     same = same.withColumn("slots", F.transform(slots, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
-    same = same.where(F.col("exact") | (F.size("slots") * 2 <= F.col("size")))
+    same = same.withColumn("plain", F.col("exact") | (F.size("slots") * 2 <= F.col("size")))
     line = ["_id", "item_id", (F.col("i") - F.col("j")).alias("shift")]
     by_line = same.groupBy(*line).agg(  # bounded by the item
-        F.collect_set(F.when(F.col("exact"), F.col("j"))).alias("exact"), F.collect_set("j").alias("js"), F.flatten(F.collect_set("slots")).alias("slots"))
-    values = F.array_distinct("slots")
-    steady = F.size(values) == F.size(F.array_distinct(F.transform(values, lambda s: s["a"])))
-    counted = by_line.select("_id", "item_id", F.explode(F.when(steady, F.col("js")).otherwise(F.col("exact"))).alias("j"))
-    matched = counted.groupBy("_id", "item_id").agg(F.count_distinct("j").alias("matched"))
-    part = F.col("matched") / F.col("n_windows")
-    found = matched.join(item_sizes, "item_id").where(part >= share)
+        F.collect_set(F.when(F.col("exact"), F.col("j"))).alias("exact"), F.collect_set(F.when(F.col("plain"), F.col("j"))).alias("plain"), F.collect_set("j").alias("js"),
+        F.flatten(F.collect_set(F.when(F.col("plain"), F.col("slots")))).alias("plain_slots"), F.flatten(F.collect_set("slots")).alias("slots"))
+
+    def steady(slots: str) -> Column:
+        """Each slot of the item has one value."""
+        values = F.array_distinct(slots)
+        return F.size(values) == F.size(F.array_distinct(F.transform(values, lambda s: s["a"])))
+
+    by_line = by_line.join(F.broadcast(item_sizes) if n_windows <= BROADCAST_WINDOWS else item_sizes, "item_id")
+    whole = steady("slots") & (F.size("js") == F.col("n_windows")) & (F.col("literals") >= LEAST_LITERALS)
+    counted = F.when(whole, F.col("js")).when(steady("plain_slots"), F.col("plain")).otherwise(F.col("exact"))
+    unsure = F.when(steady("slots") & (F.size("plain") > 0), F.array_except("js", "plain")).otherwise(F.array().cast("array<int>"))
+    judged = by_line.select("_id", "item_id", "outer_item", "n_windows", counted.alias("counted"), unsure.alias("unsure")).groupBy("_id", "item_id", "outer_item", "n_windows").agg(
+        F.array_distinct(F.flatten(F.collect_set("counted"))).alias("counted"), F.array_distinct(F.flatten(F.collect_set("unsure"))).alias("unsure"))
+    matched = judged.select("_id", "outer_item", F.size("counted").cast("long").alias("matched"), (F.col("n_windows") - F.size(F.array_except("unsure", "counted"))).alias("of"))
+    part = F.col("matched") / F.col("of")
+    found = matched.where("matched > 0").where(part >= share)
     return with_ids(found, ids).select("doc_id", F.col("outer_item").alias("item_id"), "matched", part.alias("share"))

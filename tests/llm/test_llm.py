@@ -244,3 +244,13 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
     assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(None, 1)] * 2
     left = [tuple(r) for r in P.drop_near_copies(spark, P.drop_copies(spark, docs, ""), "").collect()]
     assert sorted(left, key=str) == [x for x in distinct if x[0] != 8]
+
+
+def test_windows_dense_with_slots(spark):
+    prose = "the farmer walks to the market with some baskets of fresh fruit and"
+    names = lambda words, n: " ".join(f"{w} {n + k}" for k, w in enumerate(words.split()))
+    items = [(1, "What is 12 plus 15 times 3"), (2, "New York City Hall"), (3, f"{prose} {names('Anna Berta Carla Dora Emma Fiona Greta Hanna', 20)}")]
+    docs = [(1, "so What is 40 plus 7 times 9 and more"), (2, "What is 40 minus 7 times 9"), (3, "Old Paris Town House"), (4, f"{prose} {names('Paul Otto Max Leo Jan Tom Ben Tim', 50)}"),
+            (5, f"{prose} {names('Paul Otto Max Leo', 50)} and so on"), (6, prose), (7, "What is 12 plus 15 times 3")]
+    found = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (4, "Who is 5 plus 5 times 3")], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (4, 3), (5, 3), (7, 1)]
