@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import one_row_per_text, salted_join, stored, with_ids
 
-#: Shorter units are left alone.
-MIN_WORDS = 4
+#: Units shorter than both are left alone; scripts without spaces have few words.
+MIN_WORDS, MIN_CHARS = 4, 40
 
 
 def normalised(unit: str) -> bytes:
@@ -18,12 +18,12 @@ def normalised(unit: str) -> bytes:
     return b" ".join(unit.encode().lower().split())
 
 
-def dedup_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, n_units, n_removed, kept, removed``: each repeated unit stays where it comes first.
 
     A text's units are its parts between ``separator`` (a line break, or two for
-    paragraphs).  Units of ``min_words`` words or more whose normalised digests are
-    equal are the same; the one of the smallest id, then the earliest in its text,
+    paragraphs).  Units of ``min_words`` words or ``min_chars`` characters or more whose
+    normalised digests are equal are the same; the one of the smallest id, then the earliest in its text,
     stays.  ``kept`` has the units that stay, with ``separator`` between them;
     ``removed`` lists start and length of the others in code points of the text.
 
@@ -43,7 +43,7 @@ def dedup_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WOR
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k, unit in enumerate(text.split(separator)):
                     n = normalised(unit)
-                    if n and n.count(b" ") + 1 >= min_words:
+                    if n and (n.count(b" ") + 1 >= min_words or len(n.decode()) >= min_chars):
                         ids.append(doc)
                         places.append(k)
                         found.append(hashlib.md5(n).digest())

@@ -254,3 +254,10 @@ def test_windows_dense_with_slots(spark):
             (5, f"{prose} {names('Paul Otto Max Leo', 50)} and so on"), (6, prose), (7, "What is 12 plus 15 times 3")]
     found = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (4, "Who is 5 plus 5 times 3")], "item_id long, text string"))
     assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (4, 3), (5, 3), (7, 1)]
+
+
+def test_long_lines_without_spaces(spark):
+    line = "这一行没有空格" * 8
+    docs = spark.createDataFrame([(1, f"{line}\nkurz"), (2, f"kurz\n{line}")], "doc_id long, text string")
+    assert [(r["doc_id"], r["n_removed"], r["kept"]) for r in sorted(dedup_units(docs).collect())] == [(1, 0, f"{line}\nkurz"), (2, 1, "kurz")]
+    assert sum(r["n_removed"] for r in dedup_units(docs, min_words=1).collect()) == 2
