@@ -28,13 +28,17 @@ class Encoder:
     run of marks; and pieces are merged on their own.  So the ids of a text are
     those of its parts in a row.  The library merges each distinct part once; parts
     are kept in caches of bounded size, of which the older half goes when they fill.
+    A text with the string of an added token goes to the library as a whole.  With
+    ``special`` those of special tokens are such too, as by the library's default;
+    without it they are ordinary text.
     """
 
-    def __init__(self, path: str, end_id: int | None) -> None:
+    def __init__(self, path: str, end_id: int | None, special: bool = False) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.merge = self.tokenizer.model.tokenize
         # the splitter's characters for bytes, as it gives them for each byte alone
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -79,6 +83,9 @@ class Encoder:
         first, rest = (x.kept() for x in self.parts)
         out = []
         for t in texts:
+            if any(a in t for a in self.added):
+                out.append(self._whole(t) + self.end)
+                continue
             s = t.split(" ")
             try:
                 out.append(first(s[0]) + b"".join(map(rest, s[1:])) + self.end)
@@ -110,7 +117,7 @@ class Parts(dict):
 @lru_cache(maxsize=2)
 def encoder(path: str, end_id: int | None) -> Encoder:
     """One encoder a Python worker."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, special=True)
 
 
 def encoded(ids: list, texts: list[str], path: str, end_id: int | None):

@@ -261,3 +261,11 @@ def test_long_lines_without_spaces(spark):
     docs = spark.createDataFrame([(1, f"{line}\nkurz"), (2, f"kurz\n{line}")], "doc_id long, text string")
     assert [(r["doc_id"], r["n_removed"], r["kept"]) for r in sorted(dedup_units(docs).collect())] == [(1, 0, f"{line}\nkurz"), (2, 1, "kurz")]
     assert sum(r["n_removed"] for r in dedup_units(docs, min_words=1).collect()) == 2
+
+
+def test_strings_of_added_tokens(spark):
+    tok = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "it's  <|endoftext|>\nx", "no such string"]
+    want = [zlib.crc32(np.asarray(e.ids + [2], "<u4").tobytes()) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["ids_crc32"] for r in sorted(cut(docs).collect())] == want
