@@ -103,7 +103,8 @@ def cut(docs: DataFrame, size: int = 1024, vocabulary_path: str | None = None, e
 def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: gapless sequences of at most ``size`` ids.
 
-    Pieces are dealt by hash into groups of about GROUP_PIECES, each packed in one
+    Pieces are dealt by hash, of their place in the written table too so that equal
+    rows spread, into groups of about GROUP_PIECES, each packed in one
     task by best-two-fit, so no task grows with the input.  Rows stay row for row,
     repeated ones too; null ids are kept; an empty table gives an empty result.
     """
@@ -123,5 +124,5 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
                 at += lengths[i]
         return pdf.drop(columns="_group").assign(sequence_id=seq, offset=off)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("_group").applyInPandas(place, schema)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from scripts.compare import compare
 from tabvet.llm import queries as Q
-from tabvet.llm import token_blocks
+from tabvet.llm import packing, token_blocks
 from tabvet.llm.common import outer_id
 from tabvet.llm.decontaminate import contamination
 from tabvet.llm.exact_dedup import Trie, better, exact_duplicates
@@ -269,3 +269,11 @@ def test_strings_of_added_tokens(spark):
     want = [zlib.crc32(np.asarray(e.ids + [2], "<u4").tobytes()) for e in tok.encode_batch(texts, add_special_tokens=False)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["ids_crc32"] for r in sorted(cut(docs).collect())] == want
+
+
+def test_equal_pieces_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    pieces = spark.range(2000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "1 as length", "5L as ids_crc32")
+    rows = pack(pieces).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 2000 and max(groups.values()) < 200
