@@ -71,7 +71,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Scores, tries, MinHash and token ids are beyond SQL; tests/llm compares with brute force.
+#: Scores, tries, MinHash and token ids are beyond SQL; tests/llm plants rows for each stage.
 ORACLE_SQL = None
 
 

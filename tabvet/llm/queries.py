@@ -39,7 +39,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     items = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    joined = docs.select("doc_id").distinct().join(items, "doc_id", "left")
+    all_ids = docs.select("doc_id").distinct()
+    joined = all_ids.join(items.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     return joined.select("doc_id", F.col("ids").isNotNull().alias("contaminated"), F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("items"))
 
 

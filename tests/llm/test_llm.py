@@ -277,3 +277,24 @@ def test_equal_pieces_spread_over_groups(spark, monkeypatch):
     rows = pack(pieces).collect()
     groups = Counter(r["sequence_id"] >> 32 for r in rows)
     assert len(rows) == 2000 and max(groups.values()) < 200
+
+
+def test_planted_rows_go_at_their_stage(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(8)
+    text = lambda n=60: " ".join(f"word{i}" for i in rng.integers(0, 500, n))
+    clean, toxic = {k: text() for k in range(40)}, {k: f"{text(30)} vile vile {text(30)}" for k in range(100, 140)}
+    item = "Anna asked why the old mill by the river had stood without a miller since the war"
+    rows = [*clean.items(), *toxic.items(), (200, clean[0]), (201, f"{clean[1]} more"), (202, item.upper()), (None, f"{text(9)} {item}"), (None, text())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k >= 100)) for k in (*clean, *toxic)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    gone = [set(toxic), {200}, {201}, {202}, set()]
+    docs, want = spark.read.parquet(f"{tmp_path}/documents.parquet"), {k for k, _ in rows}
+    for (name, stage), ids in zip(P.STAGES, gone):
+        docs, want = P.stored(stage(spark, docs, str(tmp_path)), name), want - ids
+        left = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        assert set(left) == want and left.count(None) == (2 if name in ("toxicity", "exact_dedup", "near_dedup") else 1), name
+    found = {r["doc_id"]: r["items"] for r in Q.op3_decontamination(spark, str(tmp_path)).collect() if r["contaminated"]}
+    assert found == {202: "5", None: "5"}
