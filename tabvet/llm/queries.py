@@ -10,11 +10,14 @@ from . import language, quality, toxicity
 from .common import table
 from .decontaminate import UNITS, contamination
 from .exact_dedup import exact_duplicates
+from .flat_graph import near_vectors
+from .merkle import manifest, verify
 from .minhash import near_duplicates
 from .packing import cut, pack
 from .substring import dedup_units
 from .suffix import repeated_strings
 from .token_blocks import read_tokens, write_tokens
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, compress, digest, with_label_error
 
 
 def held_out_fold(folds: int, fold: int) -> Column:
@@ -87,9 +90,45 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_language_id, op6_best_fit_packing, op7_token_blocks, op8_toxicity, op9_quality, op10_minhash)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(table(spark, sf_dir, "embeddings"))
+    return with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
 
 
+def op12_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tree = manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": F.when(tampered, lower).otherwise(F.col("text"))})
+    return verify(tree).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_line_dedup, op3_decontamination, op4_exact_dedup, op5_language_id, op6_best_fit_packing, op7_token_blocks,
+    op8_toxicity, op9_quality, op10_minhash, op11_vector_codes, op12_flat_graph, op13_merkle)}
+
+
+def _codes_sql() -> str:
+    """Product codes: each round assigns all parts and takes means, one CTE a step."""
+    square = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    bad = "x IS NULL OR isnan(x) OR isinf(x)"
+    steps = [f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v, len(embedding) // {PARTS} AS w,
+            row_number() OVER (ORDER BY vec_id, embedding) AS nr FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: {bad})) = 0)""",
+        f"parts AS MATERIALIZED (SELECT nr, part, list_slice(v, part * w + 1, part * w + w) AS x FROM kept, (SELECT unnest(range({PARTS})) AS part))",
+        f"b0 AS MATERIALIZED (SELECT part, nr - 1 AS entry, x AS c FROM parts WHERE nr <= {ENTRIES})"]
+    for r in range(ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT nr, part, arg_min(entry, k) AS entry, min(d) AS d, any_value(x) AS x FROM (SELECT nr, part, entry, x, d, d * {ENTRIES} + entry AS k FROM (SELECT nr, part, entry, x, {square} AS d FROM parts JOIN b{r} USING (part))) GROUP BY nr, part)")
+        if r < ROUNDS:
+            steps.append(f"m{r} AS (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, entry, i, floor(sum(y)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{r}) GROUP BY part, entry, i) GROUP BY part, entry)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry))")
+    return f"""WITH {", ".join(steps)},
+        e AS (SELECT nr, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY nr),
+        s AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, i)) AS h FROM (SELECT part, entry, unnest(c) AS y, unnest(range(len(c))) AS i FROM b{ROUNDS}))
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN e USING (nr), s"""
+
 
 def _forms(source: str, key: str, name: str) -> str:
     """SQL of the tokens and template tokens of a table."""
@@ -101,6 +140,15 @@ def _forms(source: str, key: str, name: str) -> str:
 
 
 ORACLE = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_flat_graph": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+        ok AS (SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
     "op2_line_dedup": r"""
         WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM t),
