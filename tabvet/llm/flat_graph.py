@@ -167,12 +167,16 @@ def _builder():
         table = table.sort_by("rep")
         reps = table["rep"].to_numpy()
         graph, starts = build(unit(_vectors(table["v"])))
-        ends = np.concatenate([[0], np.cumsum((graph >= 0).sum(axis=1))])
+        # pruning may have cut all edges to a node: its nearest neighbour always leads back
+        back = np.flatnonzero(graph[:, 0] >= 0)
+        src, slot = np.nonzero(graph >= 0)
+        edge = np.unique(np.concatenate([src * len(reps) + graph[src, slot], graph[back, 0] * len(reps) + back]))
+        ends = np.searchsorted(edge, np.arange(len(reps) + 1) * len(reps))
         start = np.zeros(len(reps), bool)
         start[starts] = True
         return pa.table({
             "length": pa.repeat(pa.scalar(key[0].as_py(), pa.int32()), len(reps)), "cluster": pa.repeat(pa.scalar(key[1].as_py(), pa.int32()), len(reps)),
-            "rep": reps, "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(reps[graph[graph >= 0]])), "start": start})
+            "rep": reps, "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(reps[edge % len(reps)])), "start": start})
 
     return run
 

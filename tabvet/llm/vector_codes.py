@@ -15,11 +15,14 @@ PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 LIMIT = 2**27
 
 
+def _odd(x: Column) -> Column:
+    return x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+
+
 def valid(vector: Column) -> Column:
     """Neither null nor with a component that is null, infinite or not a number."""
     v = vector.cast("array<double>")
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return F.coalesce(~F.exists(v, bad), F.lit(False))
+    return F.coalesce(~F.exists(v, _odd), F.lit(False))
 
 
 def neighbour_lists(books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +133,8 @@ def compress(
     rows = vectors.select(
         F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")
     ).where(valid(F.col("v")))
-    in_range = lambda x: F.when(F.abs(x * scale) < LIMIT, F.floor(x * scale)).otherwise(F.raise_error(F.lit("component out of range")).cast("long"))
+    too_large = F.raise_error(F.lit("component out of range")).cast("long")
+    in_range = lambda x: F.when(F.abs(x * scale) < LIMIT, F.floor(x * scale)).when(~_odd(x), too_large)
     rows = rows.select("vec_id", "label", F.transform("v", in_range).alias("x")).where((F.size("x") > 0) & (F.size("x") % parts == 0))
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(1).collect()
     if not first:
