@@ -14,9 +14,10 @@ from .words import mix, word_hashes
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Pairs between components that are taken up at once, for each document in a bucket:
-#: this to the power of 1 and the number of stars, as each star rules out more of them.
+#: With so many pairs between components left for each document in a bucket, stars end.
 PAIRS_PER_DOC = 8
+#: Members of a bucket that are paired with as many others in one task.
+BLOCK = 512
 _EMPTY = np.uint64(2**64 - 1)
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -131,10 +132,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     are as many as bucket members and never all pairs; then it leaves the bucket.
     What the star cannot settle are pairs of one bucket that are still in different
     components.  Shingles that only one of their sets holds are in no intersection;
-    a set with too few others can have no link and leaves too.  As soon as the pairs
-    that remain are few enough (PAIRS_PER_DOC), those that their distances to the
-    centres do not rule out are checked; until then stars go on.  So the star loses
-    no link.
+    a set with too few others can have no link and leaves too.  Stars go on while each
+    leaves less than half of the pairs.  When they do not, or few are left (PAIRS_PER_DOC), each
+    pair is taken up in its first common bucket, and those that their distances to the
+    centres do not rule out are checked.  So the star loses no link.  Of buckets with the
+    same members one is taken; large buckets are paired in blocks.
 
     Null and empty texts, and texts without words, have an empty set and stay alone;
     rows equal in id (null is an id) and text are one document, others that repeat an
@@ -146,7 +148,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     filled = sketches.where("n > 0")
     classes = stored(filled.groupBy("digest").agg(F.min("_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     placed = classes.select("rep", "n", F.explode("keys").alias("key"))
-    buckets = stored(placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    same = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("lo"), F.max("rep").alias("hi")]
+    buckets = placed.groupBy("key").agg(F.count("*").alias("members"), *same).where("members > 1")
+    buckets = stored(buckets.groupBy("members", "x", "y", "lo", "hi").agg(F.min("key").alias("key")).select("key", "members"), "buckets")
     n_placed = classes.count() * BANDS
     open_members = stored(salted_join(placed, buckets, ["key"], "members", n_placed).select("key", "rep", "n", "members"), "members")
     in_bucket = open_members.select(F.col("rep").alias("_id")).distinct()
@@ -160,8 +164,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if sims is not None:
             pairs = pairs.join(sims, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        one = pairs.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("sa")), "a")
-        two = one.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("sb")), "b")
+        n_pairs = pairs.count()
+
+        def with_set(rows: DataFrame, end: str) -> DataFrame:
+            """The set of one end; a centre has many pairs."""
+            used = pairs.groupBy(end).agg(F.count("*").alias("used"))
+            return salted_join(rows, sets.select(F.col("_id").alias(end), F.col("set").alias(f"s{end}")).join(used, end), [end], "used", n_pairs).drop("used")
+
+        two = with_set(with_set(pairs, "a"), "b")
         shared = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
         union = F.col("total") - F.col("i")
         new = stored(shared.select("a", "b", F.struct((1 - F.col("i") / union).alias("d"), F.col("i").cast("long").alias("i")).alias("to"), (F.col("i") * 100 >= union * percent).alias("link")), "sims")
@@ -178,44 +188,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     def able(rows: DataFrame, used: DataFrame) -> DataFrame:
         """``rows`` with ``own``, the shingles of a set that another set of ``rows`` or of
         ``used`` holds too, less those that can have no link with even the smallest set
-        of their bucket."""
+        of their bucket, and less buckets with one component."""
         holders = rows.select(F.col("rep").alias("_id")).union(used).distinct()
         held = sets.join(holders, "_id", "left_semi").select("_id", F.explode("set").alias("s"))
         single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("single"))
         rows = rows.join(single, "rep", "left").withColumn("own", F.col("n") - F.coalesce("single", F.lit(0))).drop("single")
         rows = stored(rows.where(reaches(F.col("own"), F.col("n"), F.col("n") * percent / 100)), "able")
-        least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members"))
+        least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
         n_rows = least.agg(F.sum("members")).first()[0] or 0
-        return salted_join(rows, least, ["key"], "members", n_rows).where(reaches(F.col("own"), F.col("n"), F.col("least"))).drop("least", "members")
+        return stored(salted_join(rows, least, ["key"], "members", n_rows).where(reaches(F.col("own"), F.col("n"), F.col("least"))).drop("least", "members"), "still")
 
     def between(rows: DataFrame) -> DataFrame:
         """Those of ``rows`` whose bucket holds more than one component."""
-        labels_in = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        return rows.join(labels_in.where("lo < hi").select("key"), "key", "left_semi")
+        labels_in = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("key", "held")
+        n_rows = labels_in.agg(F.sum("held")).first()[0] or 0
+        return stored(salted_join(rows, labels_in, ["key"], "held", n_rows).drop("held"), "between")
+
+    def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both sides of a join of all members of a bucket, BLOCK by BLOCK."""
+        parts = rows.groupBy("key").agg(F.count("*").alias("held"))
+        n_rows = rows.count()
+        own = salted_join(rows, parts, ["key"], "held", n_rows).withColumn("parts", F.ceil(F.col("held") / BLOCK)).withColumn("own_part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        left = own.withColumn("right_part", every).withColumnRenamed("own_part", "left_part")
+        right = own.withColumn("left_part", every).withColumnRenamed("own_part", "right_part")
+        return left.drop("held", "parts"), right.drop("held", "parts")
 
     crowds = open_members.groupBy("rep").agg(F.sum("members").alias("crowd"))
-    open_members, stars = open_members.drop("members").join(crowds, "rep").withColumn("to", F.array().cast("array<struct<d:double,i:bigint>>")), 0
-    used = None
+    open_members = open_members.drop("members").join(crowds, "rep").withColumn("to", F.array().cast("array<struct<d:double,i:bigint>>"))
+    used, before = None, None
     while n_open:
         centres = stored(open_members.groupBy("key").agg(F.max(F.struct("crowd", F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"), F.count("*").alias("members"))
                          .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres")
         total = centres.agg(F.sum("members")).first()[0] or 0
         star = salted_join(open_members, centres, ["key"], "members", total).where(F.col("rep") != F.col("c"))
         sims = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
-        labels, stars = components(sims.where("link")), stars + 1
+        labels = components(sims.where("link"))
         centre_ids = centres.select(F.col("c").alias("_id")).distinct()
         used = centre_ids if used is None else used.union(centre_ids)
         known = star.withColumnRenamed("to", "before").join(sims.select("a", "b", "to"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
         known = known.select("key", "rep", "n", "crowd", F.concat("before", F.array("to")).alias("to"))
         named = stored(known.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
         still = able(between(named), used)
-        still = stored(between(still), "still")
         pairs = still.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs"))
         left = pairs.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        if left <= PAIRS_PER_DOC ** (1 + stars) * n_open:
-            other = still.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("own").alias("ob"), F.col("to").alias("tb"))
+        if left <= PAIRS_PER_DOC * n_open or before is not None and 2 * left > before:
+            in_open = still.groupBy("rep").agg(F.collect_set("key").alias("open"))  # BANDS at most
+            one, other = blocks(still.join(in_open, "rep"))
+            other = other.select("key", "left_part", "right_part", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("own").alias("ob"), F.col("to").alias("tb"), F.col("open").alias("open_b"))
 
             def rules_out(x, y):
                 """A centre at ``x`` and ``y`` from two sets shows that they are not similar:
@@ -225,11 +247,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                 return (F.abs(x["d"] - y["d"]) > 1 - percent / 100 + 1e-9) | ~reaches(common, F.col("n"), F.col("nb"))
 
             apart = F.exists(F.zip_with("to", "tb", rules_out), lambda x: x)
-            both = still.withColumnRenamed("rep", "a").join(other, "key").where((F.col("label") < F.col("lb")) & fits("n", "nb") & reaches(F.least("own", "ob"), F.col("n"), F.col("nb")) & ~F.coalesce(apart, F.lit(False)))
+            first = F.array_min(F.array_intersect("open", "open_b")) == F.col("key")
+            possible = fits("n", "nb") & reaches(F.least("own", "ob"), F.col("n"), F.col("nb")) & ~F.coalesce(apart, F.lit(False))
+            both = one.withColumnRenamed("rep", "a").join(other, ["key", "left_part", "right_part"]).where((F.col("label") < F.col("lb")) & possible & first)
             sims = check(both.select("a", "b"))
             labels = components(sims.where("link"))
             break
-        open_members = still.select("key", "rep", "n", "crowd", "to")
+        open_members, before = still.select("key", "rep", "n", "crowd", "to"), left
 
     of_class = classes.select("digest", "size", "rep")
     if labels is None:
