@@ -16,10 +16,13 @@ UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ml l litre litres liter liters "
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
 ).split()
-#: An item with fewer different tokens that are no placeholders is not found by its template as a whole.
+#: An item with fewer different tokens that are no placeholders is not found by its template as
+#: a whole, and a window with fewer such tokens is not looked up by its template.
 LEAST_LITERALS = 2
-#: Item windows up to this number are broadcast (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Item windows up to this size, estimated from their tokens, are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64_000_000
+#: Bytes that a token of a window takes in memory beside its characters.
+_TOKEN_BYTES = 32
 
 _TOKENS = r"[^\p{L}\p{N}]+"
 
@@ -45,6 +48,15 @@ def template(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(typed, " "))
 
 
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _window_hash(hashes: Column, at: Column, size: int) -> Column:
+    """Hash of ``size`` token hashes from the 0-based place ``at``."""
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(size)])
+
+
 def _window(words: Column, at: Column, size) -> Column:
     return F.slice(words, at + 1, size)
 
@@ -62,7 +74,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     if all windows of the item match at that distance, with one value a slot throughout
     (and the item has LEAST_LITERALS).  If not all do, but those that do agree and some
     of them are no such windows, it cannot decide and is not among the windows that
-    ``share`` is taken of.  ``matched`` counts the item's windows that are left; pairs
+    ``share`` is taken of.  A window with fewer than LEAST_LITERALS tokens that are no
+    placeholders is looked up by its tokens only, and compared by its template where
+    another window of the item was found at that distance: so many capitalised words in a
+    row do not meet every window of the kind.  An item that has only such windows is found
+    by its tokens alone.  ``matched`` counts the item's windows that are left; pairs
     with less than ``share`` of them are not returned.
 
     Documents are cut to the windows that an item has before anything is shuffled.
@@ -76,34 +92,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     places = items.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))))
     item_windows = stored(
         places.select("item_id", "j", "size", _window(F.col("words"), F.col("j"), F.col("size")).alias("item_words"),
-                      _window(F.col("forms"), F.col("j"), F.col("size")).alias("item_forms")).withColumn("item_lower", F.transform("item_words", F.lower)), "items")
+                      _window(F.col("forms"), F.col("j"), F.col("size")).alias("item_forms")).withColumn("item_lower", F.transform("item_words", F.lower))
+        .withColumn("sparse", F.size(F.filter("item_forms", lambda x: ~x.startswith("#"))) < LEAST_LITERALS), "items")
+    letters = F.octet_length(F.array_join("item_words", "")) + F.octet_length(F.array_join("item_forms", "")) + F.octet_length(F.array_join("item_lower", ""))
+    weight = item_windows.agg(F.sum(letters + 3 * _TOKEN_BYTES * F.col("size"))).first()[0] or 0
     sizes = [r["size"] for r in item_windows.select("size").distinct().collect()]  # at most ``window`` numbers
-    n_windows = item_windows.count()
+
+    def small(table: DataFrame) -> DataFrame:
+        """One of the item tables, broadcast if it has a proven bound."""
+        return F.broadcast(table) if weight <= BROADCAST_BYTES else table
+
     item_sizes = with_ids(items, item_ids, "item_id", "outer_item").select(
         "item_id", "outer_item", (F.size("words") - F.col("size") + 1).alias("n_windows"),
         F.size(F.array_distinct(F.filter("forms", lambda x: ~x.startswith("#")))).alias("literals"))
 
     rows, ids = one_row_per_text(docs, id_col, text_col)
 
-    def hashes(forms: Column, lower: Column) -> Column:
-        """Of the template and of the lower-cased tokens; one where they are the same."""
-        return F.array_distinct(F.array(F.xxhash64(forms), F.xxhash64(lower)))
-
     def of_size(size: int) -> Column:
+        """Of every window its place and the hashes of its template and of its lower-cased
+        tokens; one where they are the same."""
         last = F.size("forms") - size
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("i"), hashes(F.slice("forms", i + 1, size), F.slice("lower", i + 1, size)).alias("hs"))))
+        pair = lambda i: F.array_distinct(F.array(_window_hash(F.col("forms"), i, size), _window_hash(F.col("lower"), i, size)))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("i"), pair(i).alias("hs"))))
 
-    forms = rows.select("_id", template(F.col("_text")).alias("forms"), literal(F.col("_text")).alias("lower"))
-    cut = None
+    forms = rows.select("_id", _hashed(template(F.col("_text"))).alias("forms"), _hashed(literal(F.col("_text"))).alias("lower"))
+    cut, keys = None, None
     for size in sizes:
         one = forms.select("_id", F.explode(of_size(size)).alias("w")).select("_id", F.col("w.i").alias("i"), F.explode("w.hs").alias("h"))
         cut = one if cut is None else cut.unionByName(one)
+        of_items = item_windows.where(F.col("size") == size).select("item_id", "j", "sparse", _hashed(F.col("item_forms")).alias("f"), _hashed(F.col("item_lower")).alias("l"))
+        by_tokens, by_form = (_window_hash(F.col(c), F.lit(0), size) for c in ("l", "f"))
+        looked_up = F.array_distinct(F.when(F.col("sparse"), F.array(by_tokens)).otherwise(F.array(by_tokens, by_form)))
+        of_items = of_items.select(F.explode(looked_up).alias("h"), "item_id", "j")
+        keys = of_items if keys is None else keys.unionByName(of_items)
     pairs = "_id long, i int, item_id long, j int"
     if cut is None:
         hits = stored(docs.sparkSession.createDataFrame([], pairs), "hits")
     else:
-        keys = item_windows.select(F.explode(hashes(F.col("item_forms"), F.col("item_lower"))).alias("h"), "item_id", "j")
-        hits = stored(cut.join(F.broadcast(keys) if n_windows <= BROADCAST_WINDOWS else keys, "h").select("_id", "i", "item_id", "j"), "hits")
+        hits = stored(cut.join(small(keys), "h").select("_id", "i", "item_id", "j"), "hits")
+        shifts = hits.select("_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
+        beside = shifts.join(small(item_windows.where("sparse").select("item_id", "j")), "item_id").select("_id", (F.col("shift") + F.col("j")).alias("i"), "item_id", "j")
+        hits = hits.unionByName(beside.where("i >= 0"))
 
     # the tokens of the documents that matched, and of the windows
     of_doc = hits.groupBy("_id").agg(F.collect_set(F.struct("i", "item_id", "j")).alias("hits"))  # bounded by the document and the benchmark
@@ -111,8 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     each = both.select("_id", F.explode(F.transform("hits", lambda x: F.struct(
         x["i"].alias("i"), x["item_id"].alias("item_id"), x["j"].alias("j"),
         F.slice("words", x["i"] + 1, window).alias("words"), F.slice("forms", x["i"] + 1, window).alias("forms")))).alias("x")).select("_id", "x.*")
-    known = F.broadcast(item_windows) if n_windows <= BROADCAST_WINDOWS else item_windows
-    same = each.join(known, ["item_id", "j"]).withColumn("words", F.slice("words", 1, F.col("size"))).withColumn("forms", F.slice("forms", 1, F.col("size")))
+    same = each.join(small(item_windows), ["item_id", "j"]).withColumn("words", F.slice("words", 1, F.col("size"))).withColumn("forms", F.slice("forms", 1, F.col("size")))
     slots = F.filter(F.arrays_zip(F.col("item_forms").alias("f"), F.col("item_words").alias("a"), F.col("words").alias("b")), lambda s: s["f"].startswith("#"))
     same = same.withColumn("exact", F.col("words") == F.col("item_lower")).where(F.col("exact") | (F.col("forms") == F.col("item_forms")))
     same = same.withColumn("slots", F.transform(slots, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
@@ -127,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         values = F.array_distinct(slots)
         return F.size(values) == F.size(F.array_distinct(F.transform(values, lambda s: s["a"])))
 
-    by_line = by_line.join(F.broadcast(item_sizes) if n_windows <= BROADCAST_WINDOWS else item_sizes, "item_id")
+    by_line = by_line.join(small(item_sizes), "item_id")
     whole = steady("slots") & (F.size("js") == F.col("n_windows")) & (F.col("literals") >= LEAST_LITERALS)
     counted = F.when(whole, F.col("js")).when(steady("plain_slots"), F.col("plain")).otherwise(F.col("exact"))
     unsure = F.when(steady("slots") & (F.size("plain") > 0), F.array_except("js", "plain")).otherwise(F.array().cast("array<int>"))

@@ -154,7 +154,7 @@ ORACLE = {
         u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM t),
         w AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                             '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM u),
-        d AS (SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 4 AS counts, md5(norm) AS digest FROM w),
+        d AS (SELECT *, norm <> '' AND (len(string_split(norm, ' ')) >= 4 OR length(norm) >= 40) AS counts, md5(norm) AS digest FROM w),
         r AS (SELECT *, counts AND row_number() OVER (PARTITION BY digest, counts ORDER BY doc_id, place) > 1 AS gone,
                      coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
               FROM d)
@@ -165,20 +165,31 @@ ORACLE = {
     "op3_decontamination": rf"""
         WITH {_forms("documents", "doc_id", "d")}, {_forms("benchmark", "item_id", "b")},
         ds AS (SELECT id, words, forms FROM d WHERE len(words) > 0),
-        bs AS (SELECT id AS item_id, words AS iw, forms AS f, least(len(words), 8) AS size FROM b WHERE len(words) > 0),
-        bw AS (SELECT item_id, size, len(iw) - size + 1 AS n, j, list_slice(iw, j + 1, j + size) AS iw, list_slice(f, j + 1, j + size) AS f
-               FROM (SELECT *, unnest(range(len(iw) - size + 1)) AS j FROM bs)),
-        dw AS (SELECT id, size, i, list_slice(words, i + 1, i + size) AS w, list_slice(forms, i + 1, i + size) AS f
-               FROM (SELECT *, unnest(range(len(words) - size + 1)) AS i FROM ds, (SELECT DISTINCT size FROM bs) WHERE len(words) >= size)),
-        m AS (SELECT dw.id, bw.item_id, n, i - j AS shift, j, w, iw, dw.f, dw.size,
-                     len(list_filter(dw.f, lambda x: x[1] = '#')) AS slots FROM dw JOIN bw ON dw.f = bw.f),
-        ok AS (SELECT * FROM m WHERE 2 * slots <= size OR list_transform(w, lambda x: lower(x)) = list_transform(iw, lambda x: lower(x))),
-        s AS (SELECT DISTINCT id, item_id, shift, a, v FROM
-              (SELECT id, item_id, shift, unnest(f) AS x, unnest(iw) AS a, unnest(w) AS v FROM ok) WHERE x[1] = '#'),
-        bad AS (SELECT DISTINCT id, item_id, shift FROM (SELECT id, item_id, shift, a FROM s GROUP BY ALL HAVING count(*) > 1)),
-        hit AS (SELECT id, item_id FROM ok ANTI JOIN bad USING (id, item_id, shift) GROUP BY id, item_id, n HAVING count(DISTINCT j) / n >= 0.5)
+        bs AS (SELECT id AS item_id, words AS iw, forms AS f, least(len(words), 8) AS size, len(words) - least(len(words), 8) + 1 AS n,
+                      len(list_distinct(list_filter(forms, lambda x: x[1] <> '#'))) AS literals FROM b WHERE len(words) > 0),
+        bw AS (SELECT item_id, size, j, w, f, list_transform(w, lambda x: lower(x)) AS low, hash(f) AS hf, hash(list_transform(w, lambda x: lower(x))) AS hl, len(list_filter(f, lambda x: x[1] <> '#')) < 2 AS sparse
+               FROM (SELECT item_id, size, j, list_slice(iw, j + 1, j + size) AS w, list_slice(f, j + 1, j + size) AS f FROM (SELECT *, unnest(range(n)) AS j FROM bs))),
+        dw AS MATERIALIZED (SELECT id, size, i, hash(list_slice(forms, i + 1, i + size)) AS hf, hash(list_slice(lows, i + 1, i + size)) AS hl
+               FROM (SELECT *, unnest(range(len(forms) - size + 1)) AS i FROM (SELECT id, forms, list_transform(words, lambda x: lower(x)) AS lows FROM ds), (SELECT DISTINCT size FROM bs) WHERE len(forms) >= size)),
+        found AS (SELECT id, i, item_id, j FROM dw JOIN bw USING (size, hl) UNION SELECT id, i, item_id, j FROM dw JOIN bw USING (size, hf) WHERE NOT sparse),
+        lines AS (SELECT DISTINCT id, item_id, i - j AS shift FROM found),
+        hits AS (SELECT * FROM found UNION SELECT id, shift + j, item_id, j FROM lines JOIN bw USING (item_id) WHERE sparse AND shift + j >= 0),
+        cut AS (SELECT h.id, h.item_id, h.i - h.j AS shift, h.j, list_slice(words, h.i + 1, h.i + size) AS v, list_slice(forms, h.i + 1, h.i + size) AS vf, bw.w AS a, bw.f, bw.low, bw.size
+                FROM hits h JOIN bw USING (item_id, j) JOIN ds ON ds.id IS NOT DISTINCT FROM h.id),
+        m AS (SELECT id, item_id, shift, j, list_transform(v, lambda x: lower(x)) = low AS exact, v, a, f, size FROM cut WHERE list_transform(v, lambda x: lower(x)) = low OR vf = f),
+        p AS (SELECT *, exact OR 2 * len(list_filter(f, lambda x: x[1] = '#')) <= size AS plain FROM m),
+        slots AS (SELECT DISTINCT id, item_id, shift, a, v, plain FROM (SELECT id, item_id, shift, plain, unnest(f) AS x, unnest(a) AS a, unnest(v) AS v FROM p) WHERE x[1] = '#'),
+        steady AS (SELECT id, item_id, shift, max(k) <= 1 AS all_steady, max(kp) <= 1 AS plain_steady
+                   FROM (SELECT id, item_id, shift, a, count(DISTINCT v) AS k, count(DISTINCT v) FILTER (plain) AS kp FROM slots GROUP BY ALL) GROUP BY ALL),
+        line AS (SELECT p.id, p.item_id, p.shift, coalesce(any_value(all_steady), true) AS all_steady, coalesce(any_value(plain_steady), true) AS plain_steady,
+                        list(DISTINCT j) AS js, coalesce(list(DISTINCT j) FILTER (plain), []) AS plain, coalesce(list(DISTINCT j) FILTER (exact), []) AS exact
+                 FROM p LEFT JOIN steady s ON s.id IS NOT DISTINCT FROM p.id AND s.item_id = p.item_id AND s.shift = p.shift GROUP BY p.id, p.item_id, p.shift),
+        judged AS (SELECT line.id, item_id, n, CASE WHEN all_steady AND len(js) = n AND literals >= 2 THEN js WHEN plain_steady THEN plain ELSE exact END AS counted,
+                          CASE WHEN all_steady AND len(plain) > 0 THEN list_filter(js, lambda x: NOT list_contains(plain, x)) ELSE [] END AS unsure FROM line JOIN bs USING (item_id)),
+        sums AS (SELECT id, item_id, n, list_distinct(flatten(list(counted))) AS counted, list_distinct(flatten(list(unsure))) AS unsure FROM judged GROUP BY id, item_id, n),
+        hit AS (SELECT id, item_id FROM sums WHERE len(counted) > 0 AND len(counted) / (n - len(list_filter(unsure, lambda x: NOT list_contains(counted, x)))) >= 0.5)
         SELECT doc_id, count(item_id) > 0 AS contaminated, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id), '') AS items
-        FROM documents LEFT JOIN hit ON doc_id = id GROUP BY doc_id""",
+        FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN hit ON doc_id IS NOT DISTINCT FROM id GROUP BY doc_id""",
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
         d AS (SELECT doc_id, length(x) AS chars, sha256(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM t),
