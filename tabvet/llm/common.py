@@ -10,8 +10,6 @@ from ..session import scratch_path
 
 #: Stands for a null id inside an operator; restored to null in its result.
 NULL_ID = -(2**63)
-#: A key is hot when it holds more than one row in this many.
-HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,20 +87,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
     """Inner join of ``rows`` to one-row-per-key ``groups``, hot keys split by salt.
 
-    ``groups[size]`` is the number of rows that hold the key and ``n_rows`` their
-    total.  At most HOT_SHARE keys can hold more than ``n_rows / HOT_SHARE`` rows,
-    so the hashes of the hot keys are a bounded list that goes into the plan; rows of
-    a hot hash get one of as many salts as there are shuffle partitions, and its
-    groups one copy a salt.
+    ``groups[size]`` is the number of rows that hold the key and ``n_rows`` their total.  A key is
+    hot if it has more rows than an even partition; there are no more such keys than partitions, so
+    their hashes are a bounded list that goes into the plan.  A hot key gets as many salts as the even
+    partitions that its rows fill, rounded up to a power of two: its groups are copied that often, in
+    all no more than four times the number of partitions.
     """
-    salts = partitions(rows.sparkSession)
+    n = partitions(rows.sparkSession)
     hashed = F.xxhash64(*[F.col(k) for k in keys])
-    hot = [r[0] for r in groups.where(F.col(size) > max(1, n_rows // HOT_SHARE)).select(hashed).distinct().collect()]
+    hot: dict[int, list[int]] = {}
+    for r in groups.where(F.col(size) * n > max(n, n_rows)).groupBy(hashed.alias("h")).agg(F.max(size).alias("s")).collect():
+        hot.setdefault(1 << (-(-r["s"] * n // max(1, n_rows)) - 1).bit_length(), []).append(r["h"])
     if not hot:
         return rows.join(groups, keys)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts))
-    left = rows.withColumn("_salt", F.when(hashed.isin(hot), salt).otherwise(0).cast("int"))
-    right = groups.withColumn(
-        "_salt", F.explode(F.when(hashed.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
+    salts = F.lit(1)
+    for k, hashes in sorted(hot.items()):
+        salts = F.when(hashed.isin(hashes), F.lit(k)).otherwise(salts)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), salts).cast("int"))
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [*keys, "_salt"]).drop("_salt")

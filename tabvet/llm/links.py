@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored
+from .common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,21 +13,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours and then the label's own
     label, so long chains halve; stars, as the candidates are, take two rounds.
-    An end with many links and a label of many ends are salted.
+    Both joins read tables that are written and shuffled for them alone, so that Spark can split
+    the rows of an end with many links, or of a label of many ends, over tasks.
     """
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("to"))
     ends = stored(ends.union(ends.select(F.col("to").alias("rep"), F.col("rep").alias("to"))).distinct(), "ends")
-    n_ends = ends.count()
-    labels = stored(ends.groupBy("rep").agg(F.least("rep", F.min("to")).alias("label"), F.count("*").alias("degree")), "labels")
-    n_labels = labels.count()
+    labels = stored(ends.groupBy("rep").agg(F.least("rep", F.min("to")).alias("label")), "labels")
     while True:
-        known = labels.select(F.col("rep").alias("to"), "label", "degree")
-        near = salted_join(ends, known, ["to"], "degree", n_ends).groupBy("rep").agg(F.min("label").alias("near"))
-        step = stored(labels.join(near, "rep").select("rep", "degree", F.col("label").alias("old"), F.least("label", "near").alias("label")), "near")
-        held = step.groupBy("label").agg(F.count("*").alias("held"))
-        own = labels.select(F.col("rep").alias("label"), F.col("label").alias("above")).join(held, "label")  # a label is an end
-        step = salted_join(step, own, ["label"], "held", n_labels)
-        step = stored(step.select("rep", "degree", "old", F.col("above").alias("label")), "labels")
-        labels = step.select("rep", "label", "degree")
+        near = ends.join(labels.select(F.col("rep").alias("to"), "label"), "to").groupBy("rep").agg(F.min("label").alias("near"))
+        step = labels.join(near, "rep").select("rep", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        own = labels.select(F.col("rep").alias("label"), F.col("label").alias("above"))
+        step = stored(step.join(own, "label", "left").select("rep", "old", F.coalesce("above", "label").alias("label")), "labels")
+        labels = step.select("rep", "label")
         if step.where("label <> old").isEmpty():
-            return labels.select("rep", "label")
+            return labels

@@ -164,14 +164,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if sims is not None:
             pairs = pairs.join(sims, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        n_pairs = pairs.count()
-
-        def with_set(rows: DataFrame, end: str) -> DataFrame:
-            """The set of one end; a centre has many pairs."""
-            used = pairs.groupBy(end).agg(F.count("*").alias("used"))
-            return salted_join(rows, sets.select(F.col("_id").alias(end), F.col("set").alias(f"s{end}")).join(used, end), [end], "used", n_pairs).drop("used")
-
-        two = with_set(with_set(pairs, "a"), "b")
+        one = pairs.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("sa")), "a")
+        two = one.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("sb")), "b")
         shared = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
         union = F.col("total") - F.col("i")
         new = stored(shared.select("a", "b", F.struct((1 - F.col("i") / union).alias("d"), F.col("i").cast("long").alias("i")).alias("to"), (F.col("i") * 100 >= union * percent).alias("link")), "sims")
@@ -188,26 +182,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     def able(rows: DataFrame, used: DataFrame) -> DataFrame:
         """``rows`` with ``own``, the shingles of a set that another set of ``rows`` or of
         ``used`` holds too, less those that can have no link with even the smallest set
-        of their bucket, and less buckets with one component."""
+        of their bucket."""
         holders = rows.select(F.col("rep").alias("_id")).union(used).distinct()
         held = sets.join(holders, "_id", "left_semi").select("_id", F.explode("set").alias("s"))
         single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("single"))
         rows = rows.join(single, "rep", "left").withColumn("own", F.col("n") - F.coalesce("single", F.lit(0))).drop("single")
-        rows = stored(rows.where(reaches(F.col("own"), F.col("n"), F.col("n") * percent / 100)), "able")
-        least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").drop("lo", "hi")
-        n_rows = least.agg(F.sum("members")).first()[0] or 0
-        return stored(salted_join(rows, least, ["key"], "members", n_rows).where(reaches(F.col("own"), F.col("n"), F.col("least"))).drop("least", "members"), "still")
+        return stored(rows.where(reaches(F.col("own"), F.col("n"), F.greatest("least", F.col("n") * percent / 100))).drop("least"), "able")
 
     def between(rows: DataFrame) -> DataFrame:
-        """Those of ``rows`` whose bucket holds more than one component."""
-        labels_in = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("key", "held")
+        """Those of ``rows`` whose bucket holds more than one component, with its smallest set."""
+        labels_in = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"), F.min("n").alias("least"))
+        labels_in = stored(labels_in.where("lo < hi").select("key", "held", "least"), "mixed")
         n_rows = labels_in.agg(F.sum("held")).first()[0] or 0
         return stored(salted_join(rows, labels_in, ["key"], "held", n_rows).drop("held"), "between")
 
     def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Both sides of a join of all members of a bucket, BLOCK by BLOCK."""
-        parts = rows.groupBy("key").agg(F.count("*").alias("held"))
-        n_rows = rows.count()
+        parts = stored(rows.groupBy("key").agg(F.count("*").alias("held")), "parts")
+        n_rows = parts.agg(F.sum("held")).first()[0] or 0
         own = salted_join(rows, parts, ["key"], "held", n_rows).withColumn("parts", F.ceil(F.col("held") / BLOCK)).withColumn("own_part", F.pmod(F.xxhash64("rep"), F.col("parts")))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
         left = own.withColumn("right_part", every).withColumnRenamed("own_part", "left_part")
