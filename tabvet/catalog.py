@@ -531,12 +531,114 @@ def _glob_filter(spark, sf):
 register("scan_glob_filter", _glob_filter, "SELECT count(*) AS rows FROM customer")
 
 
+# ---- files as numbered records: the fixture is cut into files of _FILE_ROWS rows, in
+# row order by path, in a folder with a space in its name; every odd file has its
+# columns the other way round, another delimiter and Latin-1
+from .operators.files import preview_files, validate_files  # noqa: E402
+from .sources import heads as HD  # noqa: E402
+from .sources import records as REC  # noqa: E402
+
+_FILE_ROWS = 400
+
+
+def _write_numbered_files(spark, sf, columns: list[str], odd_columns: list[str]) -> str:
+    acc = fx.accounts(spark, sf).withColumn("file_no", F.lpad(F.floor((F.col("row_number") - 1) / _FILE_ROWS).cast("string"), 9, "0"))
+    path = scratch_path(spark, "numbered files")
+    odd = F.col("file_no").cast("int") % 2 == 1
+    for rows, names, sep, encoding in ((~odd, columns, ",", "UTF-8"), (odd, odd_columns, ";", "ISO-8859-1")):
+        ordered = acc.where(rows).repartitionByRange("file_no").sortWithinPartitions("file_no", "row_number")
+        (ordered.select(*names, "file_no").write.mode("append").partitionBy("file_no").option("header", True).option("quoteAll", True).option("escape", '"')
+            .option("sep", sep).option("encoding", encoding).option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+_FILE_COLS = [c for c in O.ACC_COLS]
+_PROFILE_COLS = ["code", "firstname", "lastname", "address", "city"]
+
+
+def _scan_numbered(spark, sf):
+    """P6 + S1: two headers, two dialects, line breaks in cells; one file kind lacks a column."""
+    scan = REC.scan_files(spark, _write_numbered_files(spark, sf, _PROFILE_COLS, ["lastname", "firstname", "code", "address"]))
+    return scan.rows.drop("file")
+
+
+register("scan_files_numbered", _scan_numbered,
+         f"{_ACC_SQL} SELECT row_number, code, firstname, lastname, address, "
+         f"CASE WHEN ((row_number - 1) // {_FILE_ROWS}) % 2 = 0 THEN city ELSE '' END AS city FROM accounts")
+
+
+def _files_to_report(spark, sf):
+    """M1: files in, numbered in file order, error report out (row profile, PE)."""
+    run = validate_files(spark, _write_numbered_files(spark, sf, _FILE_COLS, _FILE_COLS[::-1]), "PE", "row")
+    return RP.positioned(run.report.errors)
+
+
+register("files_to_report", _files_to_report, O.error_report_sql("PE", "row"))
+
+
+def _file_no() -> F.Column:
+    return F.regexp_extract("file", "file_no=([0-9]+)", 1)
+
+
 def _file_profile(spark, sf):
-    path = _write_accounts_csv(spark, sf, "UTF-8", _ENC_COLS)
-    return DI.file_profile(spark, path, CSV.CSV_GLOB).drop("file", "size_bytes", "lines_after_header")
+    """One row a file."""
+    path = _write_numbered_files(spark, sf, _PROFILE_COLS, _PROFILE_COLS[::-1])
+    return REC.profile_files(spark, path).select(_file_no().alias("file_no"), "size_bytes", "records", "columns", "encoding", "delimiter", "enclosure", "line_breaks")
+
+
+def _file_profile_sql() -> str:
+    cells = ", ".join(_PROFILE_COLS)
+    header = sum(len(c) + 3 for c in _PROFILE_COLS)     # quotes, and a delimiter or line end
+    size = " + ".join(f"(CASE WHEN latin THEN length(replace({c}, chr(34), chr(34) || chr(34))) ELSE strlen(replace({c}, chr(34), chr(34) || chr(34))) END + 3)" for c in _PROFILE_COLS)
+    breaks = " + ".join(f"length({c}) - length(replace({c}, chr(10), ''))" for c in _PROFILE_COLS)
+    return (f"{_ACC_SQL}, f AS (SELECT (row_number - 1) // {_FILE_ROWS} AS n, n % 2 = 1 AS latin, {cells} FROM accounts)\n"
+            f"SELECT lpad(n::VARCHAR, 9, '0') AS file_no, (sum({size}) + {header})::BIGINT AS size_bytes, count(*) AS records, {len(_PROFILE_COLS)} AS columns, "
+            f"CASE WHEN any_value(latin) AND bool_or(strlen(firstname || lastname) <> length(firstname || lastname)) THEN 'latin-1' ELSE 'utf-8' END AS encoding, "
+            f"CASE WHEN any_value(latin) THEN ';' ELSE ',' END AS delimiter, chr(34) AS enclosure, sum({breaks})::BIGINT AS line_breaks FROM f GROUP BY n")
+
+
+register("file_profile", _file_profile, _file_profile_sql())
+
+
+def _refused(spark, sf):
+    """Records with more cells than their header, counted and kept apart."""
+    full = [F.col(c).cast("string") for c in _RAGGED_COLS]
+    rn = F.col("row_number")
+    line = (F.when(rn % 10 == 0, F.concat_ws(",", *full[:3])).when(rn % 10 == 1, F.concat_ws(",", *full, F.lit("EXTRA"), F.lit('"a,b"'))).otherwise(F.concat_ws(",", *full)))
+    line = F.when((rn - 1) % _FILE_ROWS == 0, F.concat(F.lit(",".join(_RAGGED_COLS) + "\n"), line)).otherwise(line)
+    path = scratch_path(spark, "overlong")
+    acc = fx.accounts(spark, sf).withColumn("file_no", F.lpad(F.floor((rn - 1) / _FILE_ROWS).cast("string"), 9, "0"))
+    acc.repartitionByRange("file_no").sortWithinPartitions("file_no", "row_number").select(line.alias("value"), "file_no").write.partitionBy("file_no").text(path)
+    return REC.scan_files(spark, path, glob=None).refused.select(_file_no().alias("file_no"), "row_number", "cells", "columns", "record")
+
+
+register("scan_refused", _refused,
+         f"{_ACC_SQL} SELECT lpad(((row_number - 1) // {_FILE_ROWS})::VARCHAR, 9, '0') AS file_no, row_number, 8 AS cells, 6 AS columns, "
+         f"concat_ws(',', {', '.join(c + '::VARCHAR' for c in _RAGGED_COLS)}, 'EXTRA', '\"a,b\"') AS record FROM accounts WHERE row_number % 10 = 1")
+
+
+def _dialect_heads(spark, sf):
+    """S4-S6 from the first bytes of real files."""
+    lines = fx.raw_lines(spark, sf)
+    path = scratch_path(spark, "raw lines")
+    lines.repartitionByRange("file").sortWithinPartitions("file", "line_no").select(F.col("line").alias("value"), F.col("file").alias("name")).write.partitionBy("name").text(path)
+    heads = HD.file_heads(spark, path)
+    return heads.select(F.regexp_extract("file", "name=([^/]+)", 1).alias("file"), "delimiter", "enclosure", "encoding")
+
+
+register("dialect_heads", _dialect_heads,
+         f"SELECT e.file AS file, d.delimiter AS delimiter, e.enclosure AS enclosure, 'utf-8' AS encoding FROM ({_delim_sql()}) AS d JOIN ({_encl_sql()}) AS e ON d.file = e.file")
+
+
+def _preview_files(spark, sf):
+    """First records with their file's dialect and the total."""
+    return preview_files(REC.scan_files(spark, _write_numbered_files(spark, sf, _PROFILE_COLS, _PROFILE_COLS[::-1])), 10).drop("file")
 
 
-register("file_profile", _file_profile, None)
+register("preview_files", _preview_files,
+         f"{_ACC_SQL} SELECT row_number, {', '.join(_PROFILE_COLS)}, 'utf-8' AS encoding, ',' AS delimiter, chr(34) AS enclosure, {len(_PROFILE_COLS)} AS n_columns, "
+         f"(SELECT count(*) FROM accounts) AS total_rows FROM accounts ORDER BY row_number LIMIT 10")
 
 _REPORT_SCHEMA = ("row_number bigint, code string, pos bigint, field_name string, error_type string, "
                   "error_message string, invalid_value string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -34,6 +34,12 @@ def error_report(result: DataFrame) -> DataFrame:
                           F.col("e.value").alias("invalid_value")))
 
 
+def positioned(errors: DataFrame) -> DataFrame:
+    """R4 with ``pos``, the error's place in its row from 0, instead of ``seq``."""
+    place = F.row_number().over(Window.partitionBy("row_number").orderBy("seq")) - 1  # a row's errors are few
+    return errors.select("row_number", "code", place.cast("bigint").alias("pos"), "field_name", "error_type", "error_message", "invalid_value")
+
+
 POS_BITS = 20  # an error's position inside its row stays below 2**20
 
 

@@ -1,16 +1,14 @@
 """Delimited-text scans.
 
 Cells are read as strings only (no schema inference, ``NA`` stays ``NA``) and
-NULL from the reader becomes ``''``.  Splitting is Spark's: a plain file is
-cut into byte-range splits read in parallel; ``multi_line=True`` (needed when
-quoted cells hold line breaks) makes each file one split, so turn it on only
-where the dialect profile shows embedded newlines.
+NULL from the reader becomes ``''``.  Here the dialect is given and headers are the
+same; ``multi_line=True``, the default, reads line breaks in quoted cells but makes
+each file one split.  :func:`tabvet.sources.records.scan_files` finds dialects and
+headers, numbers the records and splits files whatever their cells hold.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +34,7 @@ def as_strings(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path, sep: str = ",", quote: str = '"',
-                   encoding: str = "UTF-8", multi_line: bool = False, glob: str | None = CSV_GLOB,
+                   encoding: str = "UTF-8", multi_line: bool = True, glob: str | None = CSV_GLOB,
                    columns: list[str] | None = None, header: bool = True) -> DataFrame:
     """Header row, all strings, blank lines skipped, ``''`` for missing.
 
@@ -52,31 +50,18 @@ def read_delimited(spark: SparkSession, path, sep: str = ",", quote: str = '"',
     return as_strings(r.csv(path))
 
 
-def read_with_fallback(spark: SparkSession, path: str, sep: str = ",", quote: str = '"',
-                       multi_line: bool = False, glob: str | None = CSV_GLOB) -> DataFrame:
+def read_with_fallback(spark: SparkSession, path, sep: str = ",", quote: str = '"', glob: str | None = CSV_GLOB) -> DataFrame:
     """S3: each file read as UTF-8 when all its bytes are valid UTF-8, else as Latin-1.
 
     The reference's chain (detected, utf-8, latin1, cp1252, utf-8 with
     replacement) always stops at latin1 for non-UTF-8 bytes, since latin1
-    decodes anything; the per-file choice comes from :func:`file_encodings`.
+    decodes anything.  Encodings are found by the counting pass of
+    :func:`tabvet.sources.records.scan_files`; no list of files goes through the driver.
     """
-    from .dialect import file_encodings
-
-    enc = file_encodings(spark, path, glob)
-    files = enc.select("file", "encoding").collect()   # one short row a file; paths are URI-encoded
-    utf8 = [unquote(r["file"]) for r in files if r["encoding"] == "utf-8"]
-    latin = [unquote(r["file"]) for r in files if r["encoding"] != "utf-8"]
-    parts = []
-    if utf8:
-        parts.append(read_delimited(spark, utf8, sep, quote, "UTF-8", multi_line, None))
-    if latin:
-        parts.append(read_delimited(spark, latin, sep, quote, "ISO-8859-1", multi_line, None))
-    if not parts:   # only empty files
-        return read_delimited(spark, path, sep, quote, "UTF-8", multi_line, glob)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return as_strings(out)
+    from .records import scan_files
+
+    rows = scan_files(spark, path, glob, sep, quote).rows
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns[2:]])
 
 
 def preview(df: DataFrame, n: int = 10, order_by: str = "row_number") -> DataFrame:

@@ -1,10 +1,11 @@
-"""Dialect profiling of many files at once.
+"""Dialect profiling of many files at once.
 
 The reference sniffs one uploaded file from its first bytes.  Here every
-profile is a job over a *lines relation* ``(file, line_no, line)``: only the
-first few lines of each file take part (a pushed-down filter on
-``line_no``), so a file's group is at most a handful of lines no matter how
-large the file is.
+profile is a job over a *lines relation* ``(file, line_no, line)``, of which the first
+few lines of each file take part, so a file's group is a handful of lines.
+:mod:`tabvet.sources.heads` makes that relation from each file's first bytes; the
+functions at the end make it, and judge encodings, by a scan of all lines, for stores
+that only Spark's readers open.
 """
 
 from __future__ import annotations
@@ -112,20 +113,3 @@ def file_encodings(spark: SparkSession, path: str, glob: str | None = None) -> D
              .groupBy(F.col("_metadata.file_path").alias("file"))
              .agg(F.bool_and(F.is_valid_utf8("value")).alias("ok"))
              .select("file", F.when(F.col("ok"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding")))
-
-
-def file_profile(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per file -- size, records, columns, encoding, delimiter, enclosure."""
-    lines = file_lines(spark, path, glob)
-    delim = detect_delimiter(lines)
-    encl = detect_enclosure(lines, delim)
-    enc = file_encodings(spark, path, glob)
-    r = spark.read
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    sizes = (r.text(path)
-              .groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size_bytes"))
-              .agg((F.count(F.lit(1)) - 1).alias("lines_after_header")))
-    header = lines.where(F.col("line_no") == 0).join(delim, "file").select(
-        "file", F.size(F.split("line", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")), -1)).alias("columns"))
-    return sizes.join(enc, "file").join(delim, "file").join(encl, "file").join(header, "file")
