@@ -27,25 +27,39 @@ _TOKEN_BYTES = 32
 _TOKENS = r"[^\p{L}\p{N}]+"
 
 
+def _spaced(text: Column) -> Column:
+    """Runs of letters and digits, one space between."""
+    return F.btrim(F.regexp_replace(text, _TOKENS, " "))
+
+
+def _typed(spaced: Column) -> Column:
+    """``#n`` for what starts with a digit, ``#p`` for what starts with a capital."""
+    return F.regexp_replace(F.regexp_replace(spaced, r"(?<![^ ])\p{N}[^ ]*+", "#n"), r"(?<![^ ])\p{Lu}[^ ]*+", "#p")
+
+
+def _form(token: Column) -> Column:
+    """``#u`` for units; others in lower case."""
+    return F.when(token.isin(UNITS), F.lit("#u")).otherwise(F.lower(token))
+
+
+def _split(spaced: Column, words: Column) -> Column:
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits."""
-    spaced = F.btrim(F.regexp_replace(text, _TOKENS, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return _split(_spaced(text), _spaced(text))
 
 
 def literal(text: Column) -> Column:
     """The same tokens in lower case."""
-    spaced = F.lower(F.btrim(F.regexp_replace(text, _TOKENS, " ")))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return _split(_spaced(text), F.lower(_spaced(text)))
 
 
 def template(text: Column) -> Column:
     """The same tokens with placeholders: ``#n`` for what starts with a digit, ``#p`` for
     what starts with a capital, ``#u`` for units; others in lower case."""
-    spaced = F.btrim(F.regexp_replace(text, _TOKENS, " "))
-    typed = F.regexp_replace(F.regexp_replace(spaced, r"(?<![^ ])\p{N}[^ ]*", "#n"), r"(?<![^ ])\p{Lu}[^ ]*", "#p")
-    typed = F.lower(F.regexp_replace(typed, rf"(?<![^ ])(?:{'|'.join(UNITS)})(?![^ ])", "#u"))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(typed, " "))
+    return F.transform(_split(_spaced(text), _typed(_spaced(text))), _form)
 
 
 def _hashed(words: Column) -> Column:
@@ -108,17 +122,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     rows, ids = one_row_per_text(docs, id_col, text_col)
 
-    def of_size(size: int) -> Column:
-        """Of every window its place and the hashes of its template and of its lower-cased
-        tokens; one where they are the same."""
-        last = F.size("forms") - size
-        pair = lambda i: F.array_distinct(F.array(_window_hash(F.col("forms"), i, size), _window_hash(F.col("lower"), i, size)))
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("i"), pair(i).alias("hs"))))
-
-    forms = rows.select("_id", _hashed(template(F.col("_text"))).alias("forms"), _hashed(literal(F.col("_text"))).alias("lower"))
+    texts = rows.select("_id", _spaced(F.col("_text")).alias("s")).where("s <> ''")
+    arrays = texts.select("_id", F.transform(F.split(_typed(F.col("s")), " "), lambda x: F.xxhash64(_form(x))).alias("forms"), _hashed(F.split(F.lower("s"), " ")).alias("lower"))
     cut, keys = None, None
     for size in sizes:
-        one = forms.select("_id", F.explode(of_size(size)).alias("w")).select("_id", F.col("w.i").alias("i"), F.explode("w.hs").alias("h"))
+        # two rows a window, its template and its lower-cased tokens; made by the explode, so that hashing and the join stay in one compiled stage
+        held = arrays.where(F.size("forms") >= size)
+        each = held.select("*", F.explode(F.sequence(F.lit(0), 2 * (F.size("forms") - size) + 1)).alias("k")).withColumn("i", F.shiftright("k", 1))
+        by_kind = F.when(F.col("k") % 2 == 0, _window_hash(F.col("forms"), F.col("i"), size)).otherwise(_window_hash(F.col("lower"), F.col("i"), size))
+        one = each.select("_id", "i", by_kind.alias("h"))
         cut = one if cut is None else cut.unionByName(one)
         of_items = item_windows.where(F.col("size") == size).select("item_id", "j", "sparse", _hashed(F.col("item_forms")).alias("f"), _hashed(F.col("item_lower")).alias("l"))
         by_tokens, by_form = (_window_hash(F.col(c), F.lit(0), size) for c in ("l", "f"))
@@ -129,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     if cut is None:
         hits = stored(docs.sparkSession.createDataFrame([], pairs), "hits")
     else:
-        hits = stored(cut.join(small(keys), "h").select("_id", "i", "item_id", "j"), "hits")
+        hits = stored(cut.join(small(keys), "h").select("_id", "i", "item_id", "j").distinct(), "hits")
         shifts = hits.select("_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
         beside = shifts.join(small(item_windows.where("sparse").select("item_id", "j")), "item_id").select("_id", (F.col("shift") + F.col("j")).alias("i"), "item_id", "j")
         hits = hits.unionByName(beside.where("i >= 0"))
