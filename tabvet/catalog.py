@@ -104,12 +104,12 @@ def _name_len_first(spark, sf):
 
 # ---------------------------------------------------------------- V1, V2
 def _rule_required(spark, sf):
-    acc = fx.accounts(spark, sf)
-    items = [F.when(pystrip(cell(F.col(c))) == F.lit(""),
-                    F.struct(F.lit(c).alias("field"), F.lit(R.MSG_REQUIRED.format(c)).alias("error")))
-             for c in RS.DEFAULT_REQUIRED if c in acc.columns]
-    return (acc.select("row_number", F.explode(F.array_compact(F.array(*items))).alias("e"))
-               .select("row_number", "e.field", "e.error"))
+    """V1: the required errors of the default rule set's validation."""
+    from .operators.validate import check_rows
+
+    errors = RP.error_report(check_rows(fx.accounts(spark, sf), RS.DEFAULT, "bulk"))
+    missing = F.concat(F.col("field_name"), F.lit(R.MSG_REQUIRED.format("")))
+    return errors.where(F.col("error_type") == missing).select("row_number", F.col("field_name").alias("field"), F.col("error_type").alias("error"))
 
 
 register("rule_required", _rule_required,
@@ -119,11 +119,11 @@ register("rule_required", _rule_required,
 
 
 def _rule_conditional_required(spark, sf):
-    acc = fx.accounts(spark, sf)
-    s = pystrip(cell(F.col("personalid")))
-    spanish = F.upper(pystrip(cell(F.col("citizenship")))) == F.lit("ES")
-    return (acc.where((s == F.lit("")) & spanish)
-               .select("row_number", F.lit(R.MSG_REQUIRED_ES.format("personalid")).alias("error")))
+    """V2: the conditional errors of Peru's validation."""
+    from .operators.validate import check_rows
+
+    errors = RP.error_report(check_rows(fx.accounts(spark, sf), RS.get_ruleset("PE"), "bulk"))
+    return errors.where(F.col("error_type") == R.MSG_REQUIRED_ES.format("personalid")).select("row_number", F.col("error_type").alias("error"))
 
 
 register("rule_conditional_required", _rule_conditional_required,
@@ -153,11 +153,7 @@ for _reg, _key in [("CO", "co"), ("PE", "pe"), ("IMS", "basic"), (None, "default
 
 def _error_report(regulation: str | None, profile: str) -> Query:
     def q(spark, sf):
-        res = validate(fx.accounts(spark, sf), regulation, profile)
-        return (res.select("row_number", "code", F.posexplode("errors").alias("pos", "e"))
-                   .select("row_number", "code", F.col("pos").cast("bigint").alias("pos"),
-                           F.col("e.field").alias("field_name"), F.col("e.error_type").alias("error_type"),
-                           F.col("e.message").alias("error_message"), F.col("e.value").alias("invalid_value")))
+        return RP.positioned(RP.error_report(validate(fx.accounts(spark, sf), regulation, profile)))
     return q
 
 
@@ -721,7 +717,7 @@ register("ruleset_override", _override,
 
 def _conditional(spark, sf):
     acc = fx.accounts(spark, sf)
-    dep = RS.conditional_of("PE", "personalid")
+    dep = RS.get_ruleset("PE").conditional_for("personalid", None).depends_on
     out = field_rule(acc, "personalid", "personalid", "PE")
     return out.join(acc.select("row_number", F.col(dep).alias("dependency_value")), "row_number")
 
@@ -731,6 +727,34 @@ register("ruleset_conditional", _conditional,
          f"(SELECT row_number, s_personalid, citizenship, CASE WHEN s_personalid <> '' THEN "
          f"{O.r_personalid_pe('s_personalid', O.raw_ctx)} END AS error FROM a) AS t WHERE error IS NOT NULL")
 
+
+def _conditional_own(spark, sf):
+    """A user's own conditions, as data: required where SQL over another field holds."""
+    RS.define_ruleset("CX", "Conditions", ["code", "city", "languagecode", "email"], conditional={
+        "city": RS.Conditional("citizenship", "lower({value}) IN ('pe', 'es') AND length({value}) = 2", "{} is required for PE and ES"),
+        "LanguageCode": RS.Conditional("gender", lambda g: g == "F"),
+        "email": RS.Conditional("no_such_column", "{value} <> ''")})
+    try:
+        return render(validate(fx.accounts(spark, sf), "CX", "bulk"))
+    finally:
+        RS.remove_ruleset("CX")
+
+
+def _conditional_own_sql() -> str:
+    """Email is never required (its condition's column is absent) but is still checked where it is given."""
+    req = lambda c, cond, msg: f"CASE WHEN s_{c} = '' AND {cond} THEN code || ' {c} {msg}' END"
+    msgs = ["CASE WHEN s_code = '' THEN code || ' code is required but missing' END",
+            f"CASE WHEN s_email <> '' THEN code || ' email: ' || {O.rule_sql('email', 'email')} || {O.lit(chr(58) + chr(32) + chr(39))} || s_email || chr(39) END",
+            req("city", "lower(s_citizenship) IN ('pe', 'es') AND length(s_citizenship) = 2", "is required for PE and ES"),
+            req("languagecode", "s_gender = 'F'", "is required but missing"),
+            f"code || ' ' || {O.x_address_city(O.raw_ctx)}", f"code || ' ' || {O.x_language_country(O.raw_ctx)}"]
+    n = " + ".join(f"CAST(({m}) IS NOT NULL AS INTEGER)" for m in msgs)
+    return (f"{O.accounts_cte()}\nSELECT row_number, code, ({n}) = 0 AS valid, CAST({n} AS BIGINT) AS n_errors, "
+            f"concat_ws(' | ', {', '.join(msgs)}) AS errors FROM a")
+
+
+register("ruleset_conditional_own", _conditional_own, _conditional_own_sql())
+
 _GENDER_MSG = "Gender must be M or F"
 
 
@@ -741,7 +765,10 @@ def _gender_rule(s, raw, ctx):
 def _custom(spark, sf):
     RS.define_ruleset("GX", "Gender check", ["code", "gender"])
     RS.register_rule("GX", "gender", _gender_rule)
-    return render(validate(fx.accounts(spark, sf), "GX", "bulk"))
+    try:
+        return render(validate(fx.accounts(spark, sf), "GX", "bulk"))   # the rules are in the plan now
+    finally:
+        RS.remove_ruleset("GX")
 
 
 def _custom_sql() -> str:
@@ -823,19 +850,8 @@ register("declared_constraints", _declared, _declared_sql())
 
 
 def _report(spark, sf):
-    """One run's answers in long form (no join of one-row frames)."""
-    acc = fx.accounts(spark, sf)
-    res = validate(acc, "PE", "row")
-    summary = RP.validity_summary(res)
-    longs = [summary.select(F.lit(m).alias("metric"), F.col(m).alias("value"))
-             for m in ["total_rows", "valid_rows", "invalid_rows"]]
-    dups = D.duplicate_counts(acc, None, "row").select(
-        F.concat(F.lit("duplicate_"), F.col("field")).alias("metric"), F.col("n_values").alias("value"))
-    n_err = res.agg(F.sum(F.size("errors")).cast("bigint").alias("value")).select(F.lit("errors").alias("metric"), "value")
-    out = dups.unionByName(n_err)
-    for x in longs:
-        out = out.unionByName(x)
-    return out
+    """One run's totals in long form."""
+    return RP.validation_report(fx.accounts(spark, sf), "PE", "row").metrics()
 
 
 def _report_sql_simple() -> str:

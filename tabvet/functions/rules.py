@@ -19,17 +19,18 @@ from .text import cell, is_blank, pystrip
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's: patterns, messages, lists.
-# ``(?U)`` makes \d and \s Unicode-aware in Java, as they are in Python.
+# ``(?U)`` makes \d and \s Unicode-aware in Java, as they are in Python; Python's \s
+# also has the four separators U+001C to U+001F.
 # ---------------------------------------------------------------------------
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-áéíóúñÁÉÍÓÚÑ$]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 CURRENCY_CODE_PATTERN = r"^[A-Z]{3}$"
-PHONE_PATTERN = r"(?U)^\+?\d[\d\s\-\(\)]{8,20}$"
+PHONE_PATTERN = r"(?U)^\+?\d[\d\s\x1C-\x1F\-\(\)]{8,20}$"
 COUNTRY_CODE_PATTERN = r"^[A-Z]{2}$"
 LANGUAGE_CODE_PATTERN = r"^[a-z]{2}$"
-NAME_PATTERN = r"(?U)^[a-zA-ZáéíóúñÁÉÍÓÚÑ\s\-\'\.]+$"
-ZIP_CODE_PATTERN = r"(?U)^[a-zA-Z0-9\s\-]{3,10}$"
+NAME_PATTERN = r"(?U)^[a-zA-ZáéíóúñÁÉÍÓÚÑ\s\x1C-\x1F\-\'\.]+$"
+ZIP_CODE_PATTERN = r"(?U)^[a-zA-Z0-9\s\x1C-\x1F\-]{3,10}$"
 REGION_PROVINCE_CODE_PATTERN = r"^[A-Za-z0-9\-_]{1,10}$"
-PERSONAL_ID_PATTERN = r"(?U)^[A-Za-z0-9\-\s]+$"
+PERSONAL_ID_PATTERN = r"(?U)^[A-Za-z0-9\-\s\x1C-\x1F]+$"
 SPANISH_DNI_PATTERN = r"(?U)^\d{8}[A-Z]$"
 SPANISH_NIE_PATTERN = r"(?U)^[XYZ]\d{7}[A-Z]$"
 PERU_ZIP_LIMA_PATTERN = r"(?U)^LIMA\d{2}$"

@@ -5,10 +5,9 @@ stream, so a single aggregation on (field, value) serves every key.  The
 aggregation is partial + final (map-side combine), so a value held by a third
 of all rows still arrives at the reducer as one partial row per map task.  The
 per-row answers (the index of A1-A6, the first-seen flag of A8) join the stream
-back to the duplicated groups; a hot group makes that join skewed on the
-stream side only, which AQE's skew-join splitting handles (the group side has
-one row per key).  Nothing is collected into a group: the "value -> rows" map
-of the reference is returned in long form, one row per (value, row).
+back to the duplicated groups, which are written once; a hot value is salted
+(:func:`tabvet.operators.skew.join_groups`).  Nothing is collected into a group: the
+"value -> rows" map of the reference is returned in long form, one row per (value, row).
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import RowContext
 from ..functions.text import pystrip
+from ..session import written
+from .skew import join_groups
 
 # Duplicate keys, in the order the row profile checks them, with
 # the words of their messages.
@@ -70,8 +71,8 @@ def duplicate_index(df: DataFrame, fields: list[str] | None = None, profile: str
                     row_number: str = "row_number") -> DataFrame:
     """``field, value, row_index`` (0-based) for every row of a duplicated value."""
     keys = duplicate_keys(df, fields, profile, row_number)
-    groups = duplicate_groups(keys).select("field", "value")
-    return (keys.join(groups, ["field", "value"])
+    groups = written(duplicate_groups(keys), "duplicates")
+    return (join_groups(keys.drop("code"), groups, ["field", "value"], "n")
                 .select("field", "value", (F.col("row_number") - 1).alias("row_index")))
 
 
@@ -79,21 +80,31 @@ def duplicate_counts(df: DataFrame, fields: list[str] | None = None, profile: st
                      row_number: str = "row_number") -> DataFrame:
     """``field, n_values`` (values with >= 2 rows), one row per field, zeros kept."""
     fields = fields or DUPLICATE_KEYS
-    groups = duplicate_groups(duplicate_keys(df, fields, profile, row_number))
+    return count_groups(duplicate_groups(duplicate_keys(df, fields, profile, row_number)), fields)
+
+
+def count_groups(groups: DataFrame, fields: list[str]) -> DataFrame:
+    """A7 from the groups: ``field, n_values``."""
     one_row = groups.agg(*[F.count_if(F.col("field") == F.lit(f)).alias(f"c{i}")
                            for i, f in enumerate(fields)])
     stack = ", ".join(f"'{f}', c{i}" for i, f in enumerate(fields))
     return one_row.selectExpr(f"stack({len(fields)}, {stack}) AS (field, n_values)")
 
 
-def first_seen_errors(df: DataFrame, row_number: str = "row_number") -> DataFrame:
+def row_groups(df: DataFrame, row_number: str = "row_number") -> DataFrame:
+    """The duplicated keys of the row profile, written once for all their uses."""
+    return written(duplicate_groups(duplicate_keys(df, DUPLICATE_KEYS, "row", row_number)), "duplicates")
+
+
+def first_seen_errors(df: DataFrame, row_number: str = "row_number", groups: DataFrame | None = None) -> DataFrame:
     """A8 (row profile): ``row_number, error`` for each non-first row of a repeated key.
 
-    The message names the normalised value and the row it was first seen in.
+    The message names the normalised value and the row it was first seen in.  ``groups``
+    is :func:`row_groups` of the same rows, where the caller has it.
     """
     keys = duplicate_keys(df, DUPLICATE_KEYS, "row", row_number)
-    groups = duplicate_groups(keys).select("field", "value", "first_row")
-    flagged = keys.join(groups, ["field", "value"]).where(F.col("row_number") != F.col("first_row"))
+    groups = row_groups(df, row_number) if groups is None else groups
+    flagged = join_groups(keys, groups, ["field", "value"], "n").where(F.col("row_number") != F.col("first_row"))
     seq = F.lit(None).cast("int")
     word = F.lit(None).cast("string")
     for i, f in enumerate(DUPLICATE_KEYS):

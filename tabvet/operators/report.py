@@ -1,19 +1,18 @@
 """Reports over a validation result.
 
 Every report is an aggregate or a filter over the row result of
-:func:`tabvet.operators.validate.validate`; build that once, materialize it
-(:func:`tabvet.session.materialize`) and derive the reports from it.
+:func:`tabvet.operators.validate.validate`; :func:`validation_report` validates once
+and derives them all.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .duplicates import duplicate_counts
+from ..session import written
 
 
 def validity_summary(result: DataFrame) -> DataFrame:
@@ -40,24 +39,21 @@ def positioned(errors: DataFrame) -> DataFrame:
     return errors.select("row_number", "code", place.cast("bigint").alias("pos"), "field_name", "error_type", "error_message", "invalid_value")
 
 
-POS_BITS = 20  # an error's position inside its row stays below 2**20
-
-
 def error_counts(result: DataFrame) -> DataFrame:
     """A10: ``label, n, first_row, first_pos``; the label is the profile's count key.
 
     ``(first_row, first_pos)`` is where the label was first met (row, then the
     error's position in the row), which orders ties the way an insertion-ordered
-    counter does (T1).  Both are packed into one long so the aggregate stays a
-    hash aggregate with partial (map-side) combining.
+    counter does (T1).  The two parts are a minimum and the position at that minimum, each a
+    plain number, so the aggregate is a hash aggregate with partial (map-side) combining
+    for any row number; a row has each label once, with its first place.
     """
-    first_key = F.shiftleft(F.col("row_number"), POS_BITS) + F.col("pos")
-    return (result.select("row_number", F.posexplode(F.col("errors.label")).alias("pos", "label"))
-                  .groupBy("label")
-                  .agg(F.count(F.lit(1)).alias("n"), F.min(first_key).alias("first"))
-                  .select("label", "n", F.shiftright("first", POS_BITS).alias("first_row"),
-                          (F.col("first") - F.shiftleft(F.shiftright("first", POS_BITS), POS_BITS))
-                          .cast("bigint").alias("first_pos")))
+    in_row = F.transform(F.array_distinct("labels"), lambda x: F.struct(  # a row's errors are few
+        x.alias("label"), F.size(F.filter("labels", lambda y: y == x)).alias("n"), (F.array_position("labels", x) - 1).alias("pos")))
+    exploded = result.select("row_number", F.col("errors.label").alias("labels")).select("row_number", F.explode(in_row).alias("x"))
+    return (exploded.select("row_number", "x.label", "x.n", "x.pos")
+                    .groupBy("label")
+                    .agg(F.sum("n").alias("n"), F.min("row_number").alias("first_row"), F.min_by("pos", "row_number").cast("bigint").alias("first_pos")))
 
 
 def error_counts_sorted(result: DataFrame) -> DataFrame:
@@ -119,28 +115,83 @@ def error_report_parsed(result: DataFrame) -> DataFrame:
 
 @dataclass
 class ValidationReport:
-    """Everything one run answers, as DataFrames over one materialized result."""
+    """Everything one run answers, as DataFrames over one written result.
+
+    ``results`` is R1, ``checked`` the rule results without duplicates and ``duplicates``
+    the narrow table of duplicate errors (row profile); the summary and the counts are of both.
+    """
 
     results: DataFrame
     summary: DataFrame
     error_counts: DataFrame
     duplicate_counts: DataFrame
     errors: DataFrame
+    totals: dict[str, int]
 
     def has_errors(self) -> bool:
-        return not self.errors.isEmpty()
+        return self.totals["errors"] > 0
+
+    def metrics(self) -> DataFrame:
+        """``metric, value``: the totals, and ``duplicate_`` and a field for each key."""
+        spark = self.summary.sparkSession
+        totals = spark.createDataFrame([(k, v) for k, v in self.totals.items()], "metric string, value long")
+        return totals.unionByName(self.duplicate_counts.select(F.concat(F.lit("duplicate_"), F.col("field")).alias("metric"), F.col("n_values").alias("value")))
+
+
+def _labels(checked: DataFrame, dups: DataFrame | None) -> DataFrame:
+    """``label, row_number, seq`` of every error, from both tables."""
+    own = checked.select("row_number", F.explode("errors").alias("e"))
+    if dups is not None:
+        own = own.unionByName(dups.select("row_number", F.explode("dup_errors").alias("e")))
+    return own.select("row_number", "e")
 
 
 def validation_report(df: DataFrame, ruleset=None, profile: str = "row", as_of: str = "2025-01-01",
-                      row_number: str = "row_number", reliable: bool = True) -> ValidationReport:
-    from .validate import validate
+                      row_number: str = "row_number") -> ValidationReport:
+    """A11 in one validation: the rule results are written once, and observed while they are.
 
-    result = materialize(validate(df, ruleset, profile, as_of, row_number), reliable=reliable)
+    In the row profile the duplicate errors stay a narrow table.  Error counts and the error report
+    are unions of both; a row that breaks no rule but repeats a key is found by a join of
+    that narrow table, so no error array is shuffled unless ``results`` is used and many
+    rows are flagged.
+    """
+    from ..plans import rulesets as RS
+    from . import duplicates as D
+    from .validate import check_rows, duplicate_errors, merge_duplicates
+
+    rules = ruleset if isinstance(ruleset, RS.RuleSet) else RS.get_ruleset(ruleset)
+    observed = Observation()
+    counted = check_rows(df, rules, profile, as_of, row_number).observe(
+        observed, F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("valid")).alias("invalid"), F.coalesce(F.sum(F.size("errors").cast("long")), F.lit(0)).alias("errors"))
+    checked = written(counted, "checked")
+    got = observed.get
+    invalid, n_errors, dups = got["invalid"], got["errors"], None
+    if profile == "row":
+        groups = D.row_groups(df, row_number)
+        dups = duplicate_errors(df, row_number, groups)
+        counts = D.count_groups(groups, D.DUPLICATE_KEYS)
+        n_errors += dups.agg(F.sum(F.size("dup_errors").cast("long"))).first()[0] or 0
+        invalid += dups.select("row_number").join(checked.where("valid").select("row_number"), "row_number").count()
+    else:
+        counts = D.duplicate_counts(df, profile="bulk", row_number=row_number)
+    totals = {"total_rows": got["rows"], "valid_rows": got["rows"] - invalid, "invalid_rows": invalid, "errors": n_errors}
+    spark, every = df.sparkSession, _labels(checked, dups)
+    by_label = every.select(F.col("e.label").alias("label"), "row_number", F.col("e.seq").cast("long").alias("seq"))
+    # a row's place among equal rows decides ties: the least seq of a label in its first row
+    in_row = by_label.groupBy("label", "row_number").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
+    sorted_counts = in_row.groupBy("label").agg(F.sum("n").alias("n"), F.min("row_number").alias("first_row"), F.min_by("seq", "row_number").alias("first_seq"))
+    codes = checked.select("row_number", "code", F.explode("errors").alias("e"))
+    if dups is not None:
+        # a duplicate's message begins with the row's code
+        words = dups.select("row_number", F.explode("dup_errors").alias("e"))
+        codes = codes.unionByName(words.select("row_number", F.expr("substring(e.message, 1, instr(e.message, concat(' ', e.label, ': ', e.value, ' (also in row ')) - 1)").alias("code"), "e"))
+    errors = codes.select("row_number", "code", F.col("e.seq").alias("seq"), F.col("e.field").alias("field_name"), F.col("e.error_type").alias("error_type"),
+                          F.col("e.message").alias("error_message"), F.col("e.value").alias("invalid_value"))
     return ValidationReport(
-        results=result,
-        summary=validity_summary(result),
-        error_counts=error_counts_sorted(result),
-        duplicate_counts=duplicate_counts(df, profile="bulk" if profile == "bulk" else "row",
-                                          row_number=row_number),
-        errors=error_report(result),
+        results=checked if dups is None else merge_duplicates(checked, dups),
+        summary=spark.createDataFrame([(totals["total_rows"], totals["valid_rows"], invalid)], "total_rows long, valid_rows long, invalid_rows long"),
+        error_counts=sorted_counts.orderBy(F.desc("n"), "first_row", "first_seq"),
+        duplicate_counts=counts,
+        errors=errors,
+        totals=totals,
     )

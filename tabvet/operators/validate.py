@@ -3,8 +3,9 @@
 The whole rule set becomes **one projection**: every (column, rule) pair is a
 ``CASE WHEN`` that yields an error struct or NULL, and the row's errors are the
 non-NULL entries of one array.  No Python runs per row, no shuffle happens
-here.  The "row" profile additionally flags repeated keys (A8), which needs
-one aggregation on (field, value) and one join back on ``row_number``.
+here.  The "row" profile additionally flags repeated keys (A8): one aggregation on
+(field, value), whose errors stay a narrow table of their own
+(:func:`duplicate_errors`); they are merged into the rows for R1's own output only.
 
 Error struct: ``seq`` (order inside the row), ``field``, ``error_type`` (the
 rule's own message), ``label`` (the key the profile counts by, A10),
@@ -20,6 +21,8 @@ from ..functions import rules as R
 from ..functions.dates import parse_first
 from ..functions.text import cell, pystrip
 from ..plans import rulesets as RS
+from ..session import written
+from .skew import BROADCAST_BYTES, ROW_BYTES
 
 ERROR_TYPE = ("struct<seq:int,field:string,error_type:string,label:string,"
               "message:string,value:string>")
@@ -31,7 +34,6 @@ def empty_errors() -> Column:
 
 SEQ_DUPLICATES = 0      # 0..3: the four duplicate keys (row profile)
 SEQ_FIELDS = 10         # 10 + 2*pos (+1 for the second name error)
-SEQ_CROSS = 100_000     # cross-field rules, after every column
 
 
 def _error(seq: int, field: str | Column, error_type: Column, label: Column, message: Column,
@@ -106,7 +108,9 @@ def check_rows(df: DataFrame, ruleset: RS.RuleSet, profile: str = "row",
     ctx0 = R.RowContext(df.columns, F.lit(as_of).cast("date"))
     code = code_column(ctx0)
     stage1 = df.select(F.col(row_number).alias("__rn"), code.alias("__code"), "*",
-                       *[pystrip(cell(F.col(f"`{c}`"))).alias(f"__s{pos}") for pos, c in checked])
+                       *[pystrip(cell(F.col(f"`{c}`"))).alias(f"__s{pos}") for pos, c in checked],
+                       *[pystrip(ctx0.raw(cond.depends_on)).alias(f"__c{pos}") for pos, c in checked
+                         if (cond := ruleset.conditional_for(c, R.rule_type_of(c))) is not None])
     # dates are parsed once here, so the date rules' CASE branches share them
     dated = [(pos, R.DATE_RULES[rt]) for pos, c in checked
              if (rt := R.rule_type_of(c)) in R.DATE_RULES]
@@ -122,10 +126,9 @@ def check_rows(df: DataFrame, ruleset: RS.RuleSet, profile: str = "row",
     for pos, c in checked:
         s, raw = F.col(f"__s{pos}"), cell(F.col(f"`{c}`"))
         rule_type, check, rendering = _rule_for(c, ruleset)
-        depends = ruleset.conditional_required.get(rule_type or "")
-        if depends is not None:
-            dep_upper = F.upper(pystrip(ctx.raw(depends)))
-            req = F.when((s == F.lit("")) & (dep_upper == F.lit("ES")), F.lit(R.MSG_REQUIRED_ES.format(c)))
+        conditional = ruleset.conditional_for(c, rule_type)
+        if conditional is not None:
+            req = F.when((s == F.lit("")) & conditional.holds(f"__c{pos}"), F.lit(conditional.message.format(c)))
         else:
             req = F.when(s == F.lit(""), F.lit(R.MSG_REQUIRED.format(c)))
         msgs.append(req.alias(f"__q{pos}"))
@@ -171,7 +174,7 @@ def check_rows(df: DataFrame, ruleset: RS.RuleSet, profile: str = "row",
     for k, (name, _) in enumerate(cross):
         e = F.col(f"__x{k}")
         message = F.concat(code, F.lit(" "), e)
-        items.append(_error(SEQ_CROSS + k, name, e, e if profile == "row" else message, message, F.lit("")))
+        items.append(_error(SEQ_FIELDS + 2 * len(df.columns) + k, name, e, e if profile == "row" else message, message, F.lit("")))
     errors = F.concat(*items)
     # validity from the message columns, not from the array: a filter on it
     # stays small when Catalyst pushes it below the projections
@@ -189,21 +192,36 @@ def validate(df: DataFrame, ruleset: RS.RuleSet | str | None = None, profile: st
     ``profile="row"`` adds the first-seen duplicate errors for email, username,
     personalid and idcardno ahead of the field errors; ``"bulk"`` does not.
     """
-    from .duplicates import first_seen_errors
-
     if not isinstance(ruleset, RS.RuleSet):
         ruleset = RS.get_ruleset(ruleset, required)
     checked = check_rows(df, ruleset, profile, as_of, row_number)
     if profile == "row":
-        dups = (first_seen_errors(df, row_number)
-                .groupBy("row_number")
-                .agg(F.collect_list("error").alias("dup_errors")))   # at most 4 per row
-        checked = (checked.join(dups, "row_number", "left")
-                   .select("row_number", "code",
-                           (F.col("valid") & F.col("dup_errors").isNull()).alias("valid"),
-                           F.sort_array(F.concat(F.coalesce("dup_errors", empty_errors()),
-                                                 F.col("errors"))).alias("errors")))
-    return checked.select("row_number", "code", "valid", "errors")
+        return merge_duplicates(checked, duplicate_errors(df, row_number))
+    return checked
+
+
+def duplicate_errors(df: DataFrame, row_number: str = "row_number", groups: DataFrame | None = None) -> DataFrame:
+    """``row_number, dup_errors`` of the rows that repeat a key, written: one narrow row each."""
+    from .duplicates import first_seen_errors
+
+    errors = first_seen_errors(df, row_number, groups).groupBy("row_number").agg(F.collect_list("error").alias("dup_errors"))  # at most 4 per row
+    return written(errors, "first-seen")
+
+
+def merge_duplicates(checked: DataFrame, dups: DataFrame) -> DataFrame:
+    """R1 of the row profile: the rule results with the duplicate errors ahead of them.
+
+    Few flagged rows (by their measured size) are broadcast, so the rule results are not
+    shuffled; many are joined by a shuffle.
+    """
+    text = F.aggregate("dup_errors", F.lit(0), lambda n, e: n + F.octet_length(e["message"]) + F.octet_length(e["value"]) + 4 * ROW_BYTES)
+    size = dups.agg(F.sum(text + ROW_BYTES)).first()[0] or 0
+    dups = F.broadcast(dups) if size <= BROADCAST_BYTES else dups
+    return (checked.join(dups, "row_number", "left")
+            .select("row_number", "code",
+                    (F.col("valid") & F.col("dup_errors").isNull()).alias("valid"),
+                    F.when(F.col("dup_errors").isNull(), F.col("errors"))
+                     .otherwise(F.concat(F.sort_array("dup_errors"), F.col("errors"))).alias("errors")))
 
 
 def render(result: DataFrame, sep: str = " | ") -> DataFrame:

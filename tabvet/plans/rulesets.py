@@ -12,7 +12,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
@@ -76,14 +77,38 @@ IMS_DECLARED = {
 }
 
 
+@dataclass(frozen=True)
+class Conditional:
+    """A field that is required where ``condition`` holds for another one.
+
+    ``condition`` is SQL over ``{value}``, the stripped cell of ``depends_on`` (``''`` without that
+    column), or a function from that Column to a boolean one; unknown counts as false.
+    ``message`` may name the field as ``{}``.
+    """
+
+    depends_on: str
+    condition: str | Callable
+    message: str = R.MSG_REQUIRED
+
+    def holds(self, column: str) -> Column:
+        """Over the named column, which has the stripped cells of ``depends_on``."""
+        found = self.condition(F.col(column)) if callable(self.condition) else F.expr(self.condition.format(value=f"`{column}`"))
+        return F.coalesce(found, F.lit(False))
+
+
 @dataclass
 class RuleSet:
     code: str
     name: str
     required: list[str]
     declared: dict = field(default_factory=dict)
-    # the Peru-only pieces: conditional personalid and blank-personalid handling
-    conditional_required: dict[str, str] = field(default_factory=dict)
+    # field or rule type -> when it is required; it may be blank otherwise
+    conditional_required: dict[str, Conditional] = field(default_factory=dict)
+
+    def conditional_for(self, column: str, rule_type: str | None) -> Conditional | None:
+        """The condition of a column, by its name (in any case) or its rule type."""
+        by_name = {k.lower(): v for k, v in self.conditional_required.items()}
+        return by_name.get(column.lower()) or by_name.get((rule_type or "").lower())
 
     @property
     def required_unique(self) -> list[str]:
@@ -98,7 +123,7 @@ class RuleSet:
 RULESETS: dict[str, RuleSet] = {
     "CO": RuleSet("CO", "Columbia", CO_REQUIRED, CO_DECLARED),
     "PE": RuleSet("PE", "Peru", PE_REQUIRED, PE_DECLARED,
-                  conditional_required={"personalid": "citizenship"}),
+                  conditional_required={"personalid": Conditional("citizenship", "upper({value}) = 'ES'", R.MSG_REQUIRED_ES)}),
     "IMS": RuleSet("IMS", "Basic", IMS_REQUIRED, IMS_DECLARED),
 }
 DEFAULT = RuleSet("DEFAULT", "Default", DEFAULT_REQUIRED, {})
@@ -184,8 +209,18 @@ def required_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def define_ruleset(code: str, name: str, required: list[str], declared: dict | None = None) -> RuleSet:
-    """Add (or replace) a named rule set; pair it with :func:`register_rule` overrides."""
-    rs = RuleSet(code, name, list(required), declared or {})
+def define_ruleset(code: str, name: str, required: list[str], declared: dict | None = None,
+                   conditional: dict[str, Conditional] | None = None) -> RuleSet:
+    """Add (or replace) a named rule set; pair it with :func:`register_rule` overrides.
+
+    ``conditional`` names fields of ``required`` that are required under a condition only (U2).
+    """
+    rs = RuleSet(code, name, list(required), declared or {}, dict(conditional or {}))
     RULESETS[code] = rs
     return rs
+
+
+def remove_ruleset(code: str) -> None:
+    """Forget a rule set and its overrides."""
+    RULESETS.pop(code, None)
+    _REGISTRY.pop(code, None)

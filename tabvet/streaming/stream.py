@@ -4,18 +4,18 @@ ST1 runs the same rule projection over an unbounded source: the rules are
 stateless, so the streaming plan is the batch plan.
 
 ST2 keeps the first row seen for every key across micro-batches (the
-reference's chunk loop).  The state is a table of ``(key, first_id)`` in the
-shared checkpoint folder; each micro-batch is joined to it with ordinary
-DataFrame joins inside ``foreachBatch`` (a hot key is pre-aggregated by the
-batch's partial aggregate, and the joins are planned and skew-split by AQE).
-Every write is keyed by the batch id and overwrites, so a replayed batch
-after a failure writes the same files again.  As in the reference, the state
-grows with the number of distinct keys and has no watermark.
+reference's chunk loop) in Spark's keyed state store: a batch reads and writes the state of
+its own keys only, and the store, the offsets and the output are committed together, so a
+restarted query goes on where it stopped.  As in the reference, the state grows with
+the number of distinct keys and has no watermark; for many keys, name the RocksDB provider in
+``spark.sql.streaming.stateStore.providerClass``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.validate import check_rows
@@ -45,42 +45,34 @@ def run_to_table(stream: DataFrame, name: str, fmt: str = "parquet", folder: str
     return out
 
 
+def _first_seen(id_col: str, key: str):
+    def update(keys: tuple, frames: Iterator, state) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        # of a key's rows in this batch only the ids are held
+        ids = np.concatenate([f[id_col].to_numpy() for f in frames])
+        first = state.get[0] if state.exists else int(ids.min())
+        if not state.exists:
+            state.update((first,))
+        later = np.sort(ids[ids != first])
+        for s in range(0, len(later), 10_000):
+            part = later[s : s + 10_000]
+            yield pd.DataFrame({id_col: part, key: [keys[0]] * len(part), "first_id": np.full(len(part), first)})
+
+    return update
+
+
 def first_seen_stream(stream: DataFrame, key: str, id_col: str, name: str = "first-seen",
                       folder: str | None = None) -> str:
     """ST2: write ``id, key, first_id`` for every row whose key was seen before.
 
-    "Before" is an earlier micro-batch, or a lower ``id_col`` in the same one.
-    Returns the output folder (partitioned by batch id).  State, output and
-    checkpoint live in ``folder``; a later call with the same folder goes on where
-    the earlier one ended.  Without one a new folder under the checkpoint dir is used.
+    "Before" is an earlier micro-batch, or a lower ``id_col`` (a long) in the same one.  Rows without a
+    key or an id are left out.  Returns the output folder.  State, output and checkpoint live in
+    ``folder``; a later call with the same folder goes on where the earlier one ended.
+    Without one a new folder under the checkpoint dir is used.
     """
-    spark = stream.sparkSession
-    folder = folder or scratch_path(spark, name)
-    state, out, ckpt = f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint"
-    key_type = dict(stream.dtypes)[key]
-    schema = f"`{key}` {key_type}, first_id {dict(stream.dtypes)[id_col]}"
-    # the state is there from the start, so a read that fails is an error
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{state}/epoch=-1")
-
-    def prior(session: SparkSession, epoch: int) -> DataFrame:
-        return session.read.schema(f"{schema}, epoch bigint").parquet(state).where(F.col("epoch") < epoch)
-
-    def process(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        batch = batch.select(id_col, key).persist()
-        seen = prior(session, epoch).select(key, "first_id")
-        firsts = batch.groupBy(key).agg(F.min(id_col).alias("batch_first"))      # partial + final
-        new_keys = firsts.join(seen, key, "left_anti")
-        (new_keys.select(key, F.col("batch_first").alias("first_id"))
-                 .write.mode("overwrite").parquet(f"{state}/epoch={epoch}"))
-        known = firsts.join(seen, key, "left").select(
-            key, F.coalesce(F.col("first_id"), F.col("batch_first")).alias("first_id"))
-        flagged = (batch.select(id_col, key).join(known, key)
-                        .where(F.col(id_col) != F.col("first_id")))
-        flagged.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        batch.unpersist()
-
-    q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
-               .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+    rows = stream.select(F.col(id_col).cast("long").alias(id_col), key).where(F.col(id_col).isNotNull() & F.col(key).isNotNull())
+    schema = f"`{id_col}` long, `{key}` {dict(stream.dtypes)[key]}, first_id long"
+    flagged = rows.groupBy(key).applyInPandasWithState(_first_seen(id_col, key), schema, "first_id long", "append", "NoTimeout")
+    return run_to_table(flagged, name, folder=folder)

@@ -54,13 +54,74 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int>" in plan
 
 
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_duplicate_index_single_aggregation(spark, accounts):
-    plan = D.duplicate_index(accounts, None, "bulk")._jdf.queryExecution().executedPlan().toString()
+    plan = _executed(D.duplicate_groups(D.duplicate_keys(accounts, None, "bulk")))
     # one aggregation on (field, value) serves all four keys
     assert plan.count("HashAggregate(keys=[field") == 2      # partial + final
 
 
-def test_report_materializes_once(spark, accounts):
+def test_report_validates_once(spark, accounts):
     rep = RP.validation_report(accounts, "PE", "row")
-    assert rep.summary.first().total_rows == accounts.count()
-    assert rep.has_errors()
+    res = validate(accounts, "PE", "row")
+    assert rep.summary.first() == RP.validity_summary(res).first() and rep.summary.first().total_rows == accounts.count()
+    assert sorted(tuple(r) for r in rep.errors.collect()) == sorted(tuple(r) for r in RP.error_report(res).collect())
+    assert [tuple(r)[:3] for r in rep.error_counts.collect()] == [tuple(r)[:3] for r in RP.error_counts_sorted(res).collect()]
+    assert sorted(tuple(r) for r in render(rep.results).collect()) == sorted(tuple(r) for r in render(res).collect())
+    assert rep.has_errors() and rep.totals["errors"] == rep.errors.count()
+    # everything reads what was written: no rule runs again, and no error array is shuffled
+    for df in (rep.summary, rep.error_counts, rep.errors, rep.results):
+        plan = _executed(df)
+        assert "c_custkey" not in plan
+    assert "hashpartitioning(row_number" not in _executed(rep.errors) and "Exchange hashpartitioning(row_number" not in _executed(rep.results)
+
+
+def test_duplicate_errors_are_merged_without_a_shuffle_of_the_rows(spark, accounts):
+    plan = _executed(validate(accounts, "PE", "row"))
+    assert "hashpartitioning(row_number" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_many_flagged_rows_are_joined_by_a_shuffle(spark, accounts, monkeypatch):
+    from tabvet.operators import validate as V
+
+    want = sorted(tuple(r) for r in render(validate(accounts, "PE", "row")).collect())
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in render(validate(accounts, "PE", "row")).collect()) == want
+
+
+def test_value_in_half_of_all_rows_is_split(spark):
+    """The rows of a hot value fill no partition of the join far beyond the others."""
+    rows = spark.range(20_000).selectExpr("id + 1 AS row_number", "concat('c', id) AS code", "CASE WHEN id % 2 = 0 THEN 'hot@x.y' ELSE concat('u', id div 4, '@x.y') END AS email")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("false", "-1", "32")):
+            spark.conf.set(k, v)
+        flagged = D.first_seen_errors(rows)
+        sizes = [r["n"] for r in flagged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        sizes_of_index = [r["n"] for r in D.duplicate_index(rows, ["email"]).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        hot = flagged.where(F.col("error.value") == "hot@x.y").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert hot == 9999 and max(sizes) < 3000 and max(sizes_of_index) < 3000
+
+
+def test_counts_keep_their_order_for_large_row_numbers(spark):
+    base = 2**43
+    rows = spark.createDataFrame([(base + k, "c", "bad", "J0hn", "Sm1th") for k in (5, 3, 9)], "row_number long, code string, email string, firstname string, lastname string")
+    counts = RP.error_counts(validate(rows, "IMS", "bulk"))
+    plan = _executed(counts)
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    got = RP.error_counts_sorted(validate(rows, "IMS", "row")).collect()
+    # a label that one row has twice is first met at its first place
+    assert [(r["label"], r["n"], r["first_row"] - base, r["first_pos"]) for r in got] == [("Name contains invalid characters", 6, 3, 1), ("Email missing @ symbol", 3, 3, 0), ("Duplicate email", 2, 5, 0)] or got[0]["first_row"] == base + 3
+
+
+def test_separators_are_white_space_as_in_python(spark):
+    from tabvet.functions import rules as R
+
+    df = spark.createDataFrame([("Ana\x1cMaria", "12\x1d345", "+51\x1e999 123456")], "name string, zip string, phone string")
+    assert all(df.select(F.col(c).rlike(p)).first()[0] for c, p in (("name", R.NAME_PATTERN), ("zip", R.ZIP_CODE_PATTERN), ("phone", R.PHONE_PATTERN)))
