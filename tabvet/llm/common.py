@@ -12,6 +12,16 @@ from ..session import scratch_path
 NULL_ID = -(2**63)
 
 
+#: Tables of ids are broadcast up to this size, by their counted rows.
+BROADCAST_BYTES = 64_000_000
+_ID_ROW_BYTES = 64
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of one or two ids a row, broadcast if its counted rows are few."""
+    return F.broadcast(ids) if ids.count() * _ID_ROW_BYTES <= BROADCAST_BYTES else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_text, outer_id, salted_join, stored, with_ids
+from .common import few, one_row_per_text, outer_id, salted_join, stored, with_ids
 from .links import components
 from .words import mix, word_hashes
 
@@ -153,8 +153,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     buckets = stored(buckets.groupBy("members", "x", "y", "lo", "hi").agg(F.min("key").alias("key")).select("key", "members"), "buckets")
     n_placed = classes.count() * BANDS
     open_members = stored(salted_join(placed, buckets, ["key"], "members", n_placed).select("key", "rep", "n", "members"), "members")
-    in_bucket = open_members.select(F.col("rep").alias("_id")).distinct()
-    sets = stored(rows.join(in_bucket, "_id", "left_semi").mapInArrow(_sets(shingle), "_id long, set array<long>"), "sets")
+    in_bucket = stored(open_members.select(F.col("rep").alias("_id")).distinct(), "open")
+    sets = stored(rows.join(few(in_bucket), "_id", "left_semi").mapInArrow(_sets(shingle), "_id long, set array<long>"), "sets")
     n_open = sets.count()
     labels, sims = None, None
 
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if sims is not None:
             pairs = pairs.join(sims, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        one = pairs.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("sa")), "a")
+        one = sets.select(F.col("_id").alias("a"), F.col("set").alias("sa")).join(few(pairs), "a")
         two = one.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("sb")), "b")
         shared = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
         union = F.col("total") - F.col("i")
@@ -179,15 +179,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         """``own`` shared shingles are enough for a link of sets of ``n`` and ``other``."""
         return own * (100 + percent) >= (n + other) * percent
 
-    def able(rows: DataFrame, used: DataFrame) -> DataFrame:
+    def able(rows: DataFrame, used: DataFrame, own: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """``rows`` with ``own``, the shingles of a set that another set of ``rows`` or of
         ``used`` holds too, less those that can have no link with even the smallest set
-        of their bucket."""
-        holders = rows.select(F.col("rep").alias("_id")).union(used).distinct()
-        held = sets.join(holders, "_id", "left_semi").select("_id", F.explode("set").alias("s"))
-        single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("single"))
-        rows = rows.join(single, "rep", "left").withColumn("own", F.col("n") - F.coalesce("single", F.lit(0))).drop("single")
-        return stored(rows.where(reaches(F.col("own"), F.col("n"), F.greatest("least", F.col("n") * percent / 100))).drop("least"), "able")
+        of their bucket.  ``own`` is counted after the first star and holds from then on, as
+        later stars have fewer sets."""
+        if own is None:
+            holders = rows.select(F.col("rep").alias("_id")).union(used).distinct()
+            held = sets.join(holders, "_id", "left_semi").select("_id", F.explode("set").alias("s"))
+            single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("single"))
+            counted = rows.select("rep", "n").distinct().join(single, "rep", "left")
+            own = stored(counted.select("rep", (F.col("n") - F.coalesce("single", F.lit(0))).alias("own")), "own")
+        rows = rows.join(own, "rep")
+        return own, stored(rows.where(reaches(F.col("own"), F.col("n"), F.greatest("least", F.col("n") * percent / 100))).drop("least"), "able")
 
     def between(rows: DataFrame) -> DataFrame:
         """Those of ``rows`` whose bucket holds more than one component, with its smallest set."""
@@ -208,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     crowds = open_members.groupBy("rep").agg(F.sum("members").alias("crowd"))
     open_members = open_members.drop("members").join(crowds, "rep").withColumn("to", F.array().cast("array<struct<d:double,i:bigint>>"))
-    used, before = None, None
+    own, before = None, None
     while n_open:
         centres = stored(open_members.groupBy("key").agg(F.max(F.struct("crowd", F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"), F.count("*").alias("members"))
                          .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres")
@@ -216,12 +220,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         star = salted_join(open_members, centres, ["key"], "members", total).where(F.col("rep") != F.col("c"))
         sims = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
         labels = components(sims.where("link"))
-        centre_ids = centres.select(F.col("c").alias("_id")).distinct()
-        used = centre_ids if used is None else used.union(centre_ids)
         known = star.withColumnRenamed("to", "before").join(sims.select("a", "b", "to"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
         known = known.select("key", "rep", "n", "crowd", F.concat("before", F.array("to")).alias("to"))
         named = stored(known.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
-        still = able(between(named), used)
+        own, still = able(between(named), centres.select(F.col("c").alias("_id")), own)
         pairs = still.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs"))
         left = pairs.agg(F.sum("pairs")).first()[0] or 0
         if not left:
