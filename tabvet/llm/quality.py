@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         sample = some if sample is None else sample.unionByName(some)
     ids = sample.select("doc_id", F.col("label").cast("int").alias("label")).toPandas()
     few = spark.createDataFrame(ids, "doc_id long, label int")
-    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", "label", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(few), "doc_id").select("doc_id", "label", "text")
 
     def cut(batches):
         import pyarrow as pa

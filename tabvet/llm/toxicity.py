@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         sample = some if sample is None else sample.unionByName(some)
     ids = sample.select("doc_id", F.col("label").cast("int").alias("label")).toPandas()
     sample = spark.createDataFrame(ids, "doc_id long, label int")
-    rows = docs.join(F.broadcast(sample), "doc_id").select("label", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "doc_id").select("label", "text")
 
     def count(batches):
         import pyarrow as pa

@@ -97,3 +97,39 @@ def test_sparse_windows_count_beside_others(spark, monkeypatch):
 def test_no_links(spark, n):
     docs = spark.createDataFrame([(k, "one text only here now") for k in range(n)], "doc_id long, text string")
     assert near_duplicates(docs).count() == n and contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(0)).count() == 0
+
+
+CLASHING = "doc_id long, text string, label int, score double, passages string, _text string, _row int, _key int, _id int, _h int, c0 int, keep_id int, lang string, words int"
+
+
+def test_columns_named_as_inner_ones(spark, tmp_path):
+    """Every operator and stage on columns that it could mistake for its own, with repeated rows."""
+    import corpus_pipeline as P
+    from tabvet.llm import language, quality, toxicity
+    from tabvet.llm.exact_dedup import exact_duplicates
+    from tabvet.llm.packing import cut, pack
+    from tabvet.llm.substring import dedup_units
+    from tabvet.llm.suffix import repeated_strings
+    from tabvet.llm.token_blocks import read_tokens, write_tokens
+
+    words = lambda k, n: " ".join(f"w{(k * 7 + i * i) % 97}" for i in range(n))
+    rows = [(k, f"{'vile ' * (k % 2)}{words(k, 30)}") for k in range(40)] + [(3, f"vile {words(3, 30)}"), (None, None), (50, ""), (51, words(51, 4000))]
+    docs = spark.createDataFrame([(i, t, 9, 0.5, "p", "t", 1, 2, 3, 4, 5, 6, "aa" if k % 3 else "bb", 7) for k, (i, t) in enumerate(rows)], CLASHING)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, label int")
+    labels.select("doc_id", F.col("label").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(5, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    n, distinct = len(rows), len(set(rows))
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == n
+    assert quality.score(docs, quality.train(docs, labels)).count() == n
+    assert language.label(docs, language.train(docs, F.lit(True))).count() == n
+    assert pack(cut(docs)).select("doc_id").distinct().count() == len({i for i, _ in rows})
+    for operator in (exact_duplicates, near_duplicates, dedup_units, repeated_strings):
+        assert operator(docs).count() == distinct, operator
+    write_tokens(docs, f"{tmp_path}/tokens")
+    assert read_tokens(spark, f"{tmp_path}/tokens").count() == distinct
+    assert contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text", "label")).count() > 0
+    for name, stage in P.STAGES[:-1]:
+        left = stage(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns and 0 < left.count() <= n and left.first()["_row"] == 1, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert P.pack_sequences(spark, docs, str(tmp_path)).count() >= n
