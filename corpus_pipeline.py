@@ -22,10 +22,22 @@ from tabvet.llm.packing import cut, pack
 TOXIC = 0.7
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the inner keys (``_row``, as ``doc_id``) in ``dropped``; the other columns and rows stay."""
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with its columns named by place, and those of its id and text: no column can
+    have the name of one that a stage adds."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = {c.lower(): n for c, n in zip(docs.columns, names)}
+    return docs.toDF(*names), of["doc_id"], of["text"]
+
+
+def _kept(docs: DataFrame, drop: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row for each id and text, less the inner keys (as ``doc_id``) that ``drop`` gives for
+    ``doc_id`` (the inner key) and ``text``; all columns of ``docs``."""
+    inner, key, text = _plain(docs)
+    rows = one_document_per_text(inner, key, text)
+    dropped = drop(rows.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")))
     ids = dropped.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_dropped")).distinct()
-    return docs.join(ids, docs["_row"] == F.col("_dropped"), "left_anti").drop("_row")
+    return rows.join(ids, rows["_row"] == F.col("_dropped"), "left_anti").drop("_row").toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,28 +46,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are not toxic and stay.  Repeated rows go or stay together.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.train(docs, labels)
-    columns = docs.columns
-    scored = toxicity.score(docs, model, keep=tuple(columns))
-    return scored.where(F.col("score") < TOXIC).select(*[F.col(f"`{c}`") for c in columns])
+    inner, key, text = _plain(docs)
+    model = toxicity.train(inner.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels)
+    scored = toxicity.score(inner, model, text_col=text, keep=tuple(inner.columns))
+    return scored.where(F.col("score") < TOXIC).select(*inner.columns).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of equal texts; rows equal in id and text are one before."""
-    docs = one_document_per_text(docs)
-    return _without(docs, exact_duplicates(docs, id_col="_row").where(~F.col("kept")))
+    return _kept(docs, lambda d: exact_duplicates(d).where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near duplicates: five-word shingles, similarity 0.8."""
-    docs = one_document_per_text(docs)
-    return _without(docs, near_duplicates(docs, shingle=5, percent=80, id_col="_row").where(~F.col("kept")))
+    return _kept(docs, lambda d: near_duplicates(d, shingle=5, percent=80).where(~F.col("kept")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no item of ``benchmark``."""
-    docs = one_document_per_text(docs)
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark"), id_col="_row"))
+    return _kept(docs, lambda d: contamination(d, table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
