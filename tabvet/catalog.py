@@ -460,15 +460,6 @@ register("scan_encoding_fallback", _encoding_fallback,
          f"SELECT row_number, code, firstname, lastname FROM accounts")
 
 
-def _dialect_encoding(spark, sf):
-    latin, utf8 = _two_encodings(spark, sf)
-    enc = DI.file_encodings(spark, [latin, utf8], CSV.CSV_GLOB)
-    return enc.select(F.when(F.col("file").contains("accounts-csv"), F.lit("accounts")).alias("kind"), "encoding")
-
-
-register("dialect_encoding", _dialect_encoding, None)
-
-
 def _delim_select() -> str:
     counts = ", ".join(f"sum(length(line) - length(replace(line, {d}, ''))) AS c{i}"
                        for i, d in enumerate(["','", "';'", "chr(9)", "'|'"]))
@@ -597,6 +588,15 @@ def _file_profile_sql() -> str:
 register("file_profile", _file_profile, _file_profile_sql())
 
 
+def _dialect_encoding(spark, sf):
+    """S6, judged by each file's first bytes."""
+    heads = HD.file_heads(spark, _write_numbered_files(spark, sf, _PROFILE_COLS, _PROFILE_COLS[::-1]))
+    return heads.select(_file_no().alias("file_no"), "encoding")
+
+
+register("dialect_encoding", _dialect_encoding, f"SELECT file_no, encoding FROM ({_file_profile_sql()}) AS p")
+
+
 def _refused(spark, sf):
     """Records with more cells than their header, counted and kept apart."""
     full = [F.col(c).cast("string") for c in _RAGGED_COLS]

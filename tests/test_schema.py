@@ -15,21 +15,16 @@ def _norm(s):
 
 
 def _suggest(sources, targets):
-    """Direct transcription of the two greedy passes as described in SURVEY P8."""
-    m = {}
-    for s in sources:
-        for t in targets:
-            if _norm(s) == _norm(t):
-                m[s] = t
-    for s in sources:
-        if m.get(s):
-            continue
-        for t in targets:
-            if t in m.values():
-                continue
-            if _norm(t) in _norm(s) or _norm(s) in _norm(t):
-                m[s] = t
-    return m
+    """What SURVEY P8 asks of a header, stated per source: an equal target (the last one), or else
+    the last free target that contains it or that it contains.  A target is free if it is not the
+    equal target of any source, nor the pick of an earlier source."""
+    equal = {s: [t for t in targets if _norm(t) == _norm(s)] for s in sources}
+    picked = {s: ts[-1] for s, ts in equal.items() if ts}
+    for s in (s for s in sources if not equal[s]):
+        taken = set(picked.values())
+        near = [t for t in targets if t not in taken and (_norm(s) in _norm(t) or _norm(t) in _norm(s))]
+        picked.update({s: near[-1]} if near else {})
+    return picked
 
 
 def test_suggest_mappings_matches_brute_force(spark):
