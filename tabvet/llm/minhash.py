@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, one_row_per_text, outer_id, salted_join, stored, with_ids
+from . import common
+from .common import few, one_row_per_text, outer_id, salted_join, with_ids
 from .links import components
 from .words import mix, word_hashes
 
@@ -22,6 +23,11 @@ _EMPTY = np.uint64(2**64 - 1)
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Many intermediate tables stand at once: packed tighter than by default."""
+    return common.stored(df, name, "zstd")
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text, letters A-Z lower-cased.
 
