@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that the network learns from, by smallest hash of the
-#: id, and the chunks, evenly over the text, that each of them gives.
-MAX_LABELLED, CHUNKS_PER_DOC = 1_500, 4
+from .common import stored
+
+#: Labelled rows of each class that the network may learn from, by smallest hash of the id, and
+#: the chunks that they give in all: a row whose whole text would pass this is not in the sample.
+MAX_LABELLED, MAX_CHUNKS = 1_500, 12_000
 CHUNK, STEP = 512, 384
 WIDTH, FILTERS, EPOCHS, BATCH = 8, 16, 6, 128
 #: A byte is marked when its next RUN bytes stood 2 to LAGS bytes before.
@@ -70,16 +72,16 @@ def probabilities(texts: list[bytes], net: Network) -> np.ndarray:
     return out
 
 
-def fit(chunks: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
-    """Adam on (chunks, CHUNK) symbols and 0/1 labels; classes weigh the same."""
+def fit(chunks: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Network:
+    """Adam on (chunks, CHUNK) symbols, 0/1 labels and weights; classes weigh the same."""
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, 0.1, (WIDTH, 512, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), np.zeros(1, np.float32)]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    share = np.array([max(1, (y == k).sum()) for k in (0, 1)]) * 2 / max(1, len(y))
+    scale = (weight * np.array([len(y) / 2 / max(1e-9, weight[y == k].sum()) for k in (0, 1)])[y.astype(int)]).astype(np.float32)
     n, t = CHUNK - WIDTH + 1, 0
     for _ in range(EPOCHS):
         for some in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH)):
-            x, t = chunks[some], t + 1
+            x, t = chunks[some].astype(np.int64), t + 1
             h = np.take(p[0][0], x[:, :n], axis=0)
             for j in range(1, WIDTH):
                 h += np.take(p[0][j], x[:, j : j + n], axis=0)
@@ -87,7 +89,7 @@ def fit(chunks: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
             z = np.take_along_axis(h, top[:, None], axis=1)[:, 0] + p[1]
             a = np.maximum(z, 0)
             q = 1 / (1 + np.exp(-np.clip(a @ p[2] + p[3][0], -30, 30)))
-            d = ((q - y[some]) / share[y[some].astype(int)] / len(some)).astype(np.float32)
+            d = ((q - y[some]) * scale[some] / len(some)).astype(np.float32)
             dz = np.where(z > 0, d[:, None] * p[2], 0).astype(np.float32)
             grads = [np.zeros_like(p[0]), dz.sum(axis=0), a.T @ d, np.array([d.sum()], np.float32)]
             rows, filters = np.arange(len(some))[:, None], np.arange(FILTERS)[None]
@@ -100,12 +102,13 @@ def fit(chunks: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
     return Network(p[0], p[1], p[2], float(p[3][0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> Network:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_chunks: int = MAX_CHUNKS, text_col: str = "text") -> Network:
     """``labels``: ``doc_id`` and ``label`` (0 or 1, others are left out) of rows to learn from.
 
-    At most ``max_labelled`` rows of each class give at most CHUNKS_PER_DOC chunks
-    each; this bounded sample is fitted on the driver.  Without both classes the
-    network is that of no data: every text scores 0.5.
+    At most ``max_labelled`` rows of each class, by smallest hash of the id, give all chunks of
+    their whole texts, up to ``max_chunks`` a class: a row that would pass that is left out and
+    the next one taken.  This bounded sample is fitted on the driver; a text weighs the same
+    whatever its length.  Without both classes the network is that of no data: every text scores 0.5.
     """
     spark = docs.sparkSession
     named = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -122,22 +125,27 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         import pyarrow as pa
 
         for b in batches:
-            got = []
             for doc, y, t in zip(*(c.to_pylist() for c in b.columns)):
-                starts = chunk_starts(len(t))
-                x = symbols(np.frombuffer(t, np.uint8))
-                for s in sorted({starts[i * (len(starts) - 1) // max(1, CHUNKS_PER_DOC - 1)] for i in range(CHUNKS_PER_DOC)}):
-                    part = np.zeros(CHUNK, "<u2")
-                    part[: len(x[s : s + CHUNK])] = x[s : s + CHUNK]
-                    got.append((doc, s, y, part.tobytes()))
-            cols = list(zip(*got))
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "at", "label", "chunk"])
-
-    chunks = rows.mapInArrow(cut, "doc_id long, at int, label int, chunk binary").toPandas().sort_values(["doc_id", "at", "chunk"])
-    if chunks["label"].nunique() < 2:
+                starts, x = chunk_starts(len(t)), symbols(np.frombuffer(t, np.uint8)).astype("<u2")
+                for some in (starts[a : a + 1024] for a in range(0, len(starts), 1024)):
+                    parts = [x[s : s + CHUNK].tobytes().ljust(2 * CHUNK, b"\0") for s in some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([y] * len(some), pa.int32()), pa.array(parts, pa.binary())],
+                        names=["doc_id", "at", "label", "chunk"],
+                    )
+
+    chunks = stored(rows.mapInArrow(cut, "doc_id long, at long, label int, chunk binary"), "chunks")
+    sizes = chunks.groupBy("label", "doc_id").agg(F.count("*").alias("n")).orderBy("label", F.xxhash64("doc_id"), "doc_id").toPandas()  # a row a sampled id
+    taken, room = [], {0: max_chunks, 1: max_chunks}
+    for y, doc, n in zip(sizes["label"].tolist(), sizes["doc_id"].tolist(), sizes["n"].tolist()):
+        if n <= room[y]:
+            room[y] -= n
+            taken.append((doc, n))
+    if len(set(room.values()) & {max_chunks}):
         return Network(np.zeros((WIDTH, 512, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 0.0)
-    x = np.frombuffer(b"".join(chunks["chunk"]), "<u2").reshape(len(chunks), CHUNK).astype(np.int64)
-    return fit(x, chunks["label"].to_numpy(np.float32))
+    mine = chunks.join(F.broadcast(spark.createDataFrame(taken, "doc_id long, n long")), "doc_id").toPandas().sort_values(["doc_id", "at", "chunk"])
+    x = np.frombuffer(b"".join(mine["chunk"]), "<u2").reshape(len(mine), CHUNK)
+    return fit(x, mine["label"].to_numpy(np.float32), 1 / mine["n"].to_numpy(float))
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
