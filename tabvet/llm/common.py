@@ -15,10 +15,12 @@ NULL_ID = -(2**63)
 #: Tables of ids are broadcast up to this size, by their counted rows.
 BROADCAST_BYTES = 64_000_000
 _ID_ROW_BYTES = 64
+#: A table of a few numbers a row has no more files than its counted rows ask for.
+ROWS_PER_FILE = 100_000
 
 
 def few(ids: DataFrame) -> DataFrame:
-    """A written table of one or two ids a row, broadcast if its counted rows are few."""
+    """A written table of a few numbers a row, broadcast if its counted rows are few."""
     return F.broadcast(ids) if ids.count() * _ID_ROW_BYTES <= BROADCAST_BYTES else ids
 
 
@@ -86,9 +88,15 @@ def outer_id(name: str = "_id") -> Column:
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name))
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends here."""
+def stored(df: DataFrame, name: str, codec: str = "snappy", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: lineage ends here.
+
+    ``rows``, a counted bound of the rows of a table of a few numbers a row, keeps a small
+    table from being written by as many tasks as a shuffle has partitions.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
     path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -116,3 +124,11 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), salts).cast("int"))
     right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int) -> DataFrame:
+    """``salted_join`` to a written table of a few numbers a row: where its counted rows are few
+    it is broadcast, so that ``rows`` stay where they are, hot keys too."""
+    if groups.count() * _ID_ROW_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), keys)
+    return salted_join(rows, groups, keys, size, n_rows)

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import few, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """``rep, label`` of every end of ``links(a, b)``: the smallest id that it reaches.
 
-    Each round takes the least label among the neighbours and then the label's own
-    label, so long chains halve; stars, as the candidates are, take two rounds.
-    Both joins read tables that are written and shuffled for them alone, so that Spark can split
-    the rows of an end with many links, or of a label of many ends, over tasks.
+    Each round takes the least label among an end, which is its own neighbour, and the others, and
+    then the label's own label, so long chains halve; stars, as the candidates are, take two rounds.
+    Labels are broadcast while their counted rows are few.  Beyond that both joins read tables that
+    are written and shuffled for them alone, so that Spark can split the rows of an end with many
+    links, or of a label of many ends, over tasks.
     """
-    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("to"))
-    ends = stored(ends.union(ends.select(F.col("to").alias("rep"), F.col("rep").alias("to"))).distinct(), "ends")
-    labels = stored(ends.groupBy("rep").agg(F.least("rep", F.min("to")).alias("label")), "labels")
+    ends = links.select(F.explode(F.array(*[F.struct(F.col(x).alias("rep"), F.col(y).alias("to")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e")).select("e.*")
+    ends = stored(ends.distinct(), "ends", rows=4 * links.count())
+    n = ends.count()
+    labels = stored(ends.groupBy("rep").agg(F.min("to").alias("label")), "labels", rows=n)
     while True:
-        near = ends.join(labels.select(F.col("rep").alias("to"), "label"), "to").groupBy("rep").agg(F.min("label").alias("near"))
-        step = labels.join(near, "rep").select("rep", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = labels.select(F.col("rep").alias("label"), F.col("label").alias("above"))
-        step = stored(step.join(own, "label", "left").select("rep", "old", F.coalesce("above", "label").alias("label")), "labels")
+        known = few(labels)
+        near = ends.join(known.select(F.col("rep").alias("to"), "label"), "to")
+        step = near.groupBy("rep").agg(F.max(F.when(F.col("to") == F.col("rep"), F.col("label"))).alias("old"), F.min("label").alias("label"))
+        own = known.select(F.col("rep").alias("label"), F.col("label").alias("above"))
+        step = stored(step.join(own, "label", "left").select("rep", "old", F.coalesce("above", "label").alias("label")), "labels", rows=n)
         labels = step.select("rep", "label")
         if step.where("label <> old").isEmpty():
             return labels

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import few, one_row_per_text, outer_id, salted_join, with_ids
+from .common import few, join_groups, one_row_per_text, outer_id, salted_join, with_ids
 from .links import components
 from .words import mix, word_hashes
 
@@ -23,9 +23,9 @@ _EMPTY = np.uint64(2**64 - 1)
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Many intermediate tables stand at once: packed tighter than by default."""
-    return common.stored(df, name, "zstd")
+    return common.stored(df, name, "zstd", rows)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -158,8 +158,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     buckets = placed.groupBy("key").agg(F.count("*").alias("members"), *same).where("members > 1")
     buckets = stored(buckets.groupBy("members", "x", "y", "lo", "hi").agg(F.min("key").alias("key")).select("key", "members"), "buckets")
     n_placed = classes.count() * BANDS
-    open_members = stored(salted_join(placed, buckets, ["key"], "members", n_placed).select("key", "rep", "n", "members"), "members")
-    in_bucket = stored(open_members.select(F.col("rep").alias("_id")).distinct(), "open")
+    open_members = stored(join_groups(placed, buckets, ["key"], "members", n_placed).select("key", "rep", "n", "members"), "members")
+    n_in_buckets = open_members.count()
+    in_bucket = stored(open_members.select(F.col("rep").alias("_id")).distinct(), "open", n_in_buckets)
     sets = stored(rows.join(few(in_bucket), "_id", "left_semi").mapInArrow(_sets(shingle), "_id long, set array<long>"), "sets")
     n_open = sets.count()
     labels, sims = None, None
@@ -196,21 +197,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             single = held.groupBy("s").agg(F.count("*").alias("c"), F.min("_id").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("single"))
             counted = rows.select("rep", "n").distinct().join(single, "rep", "left")
             own = stored(counted.select("rep", (F.col("n") - F.coalesce("single", F.lit(0))).alias("own")), "own")
-        rows = rows.join(own, "rep")
+        rows = rows.join(few(own), "rep")
         return own, stored(rows.where(reaches(F.col("own"), F.col("n"), F.greatest("least", F.col("n") * percent / 100))).drop("least"), "able")
 
     def between(rows: DataFrame) -> DataFrame:
         """Those of ``rows`` whose bucket holds more than one component, with its smallest set."""
         labels_in = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"), F.min("n").alias("least"))
-        labels_in = stored(labels_in.where("lo < hi").select("key", "held", "least"), "mixed")
+        labels_in = stored(labels_in.where("lo < hi").select("key", "held", "least"), "mixed", n_members)
         n_rows = labels_in.agg(F.sum("held")).first()[0] or 0
-        return stored(salted_join(rows, labels_in, ["key"], "held", n_rows).drop("held"), "between")
+        return stored(join_groups(rows, labels_in, ["key"], "held", n_rows).drop("held"), "between")
 
     def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Both sides of a join of all members of a bucket, BLOCK by BLOCK."""
-        parts = stored(rows.groupBy("key").agg(F.count("*").alias("held")), "parts")
+        parts = stored(rows.groupBy("key").agg(F.count("*").alias("held")), "parts", n_members)
         n_rows = parts.agg(F.sum("held")).first()[0] or 0
-        own = salted_join(rows, parts, ["key"], "held", n_rows).withColumn("parts", F.ceil(F.col("held") / BLOCK)).withColumn("own_part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        own = join_groups(rows, parts, ["key"], "held", n_rows).withColumn("parts", F.ceil(F.col("held") / BLOCK)).withColumn("own_part", F.pmod(F.xxhash64("rep"), F.col("parts")))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
         left = own.withColumn("right_part", every).withColumnRenamed("own_part", "left_part")
         right = own.withColumn("left_part", every).withColumnRenamed("own_part", "right_part")
@@ -218,17 +219,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     crowds = open_members.groupBy("rep").agg(F.sum("members").alias("crowd"))
     open_members = open_members.drop("members").join(crowds, "rep").withColumn("to", F.array().cast("array<struct<d:double,i:bigint>>"))
-    own, before = None, None
+    own, before, n_members = None, None, n_in_buckets
     while n_open:
         centres = stored(open_members.groupBy("key").agg(F.max(F.struct("crowd", F.xxhash64("rep").alias("h"), "rep", "n")).alias("c"), F.count("*").alias("members"))
-                         .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres")
-        total = centres.agg(F.sum("members")).first()[0] or 0
-        star = salted_join(open_members, centres, ["key"], "members", total).where(F.col("rep") != F.col("c"))
+                         .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres", n_members)
+        total = n_members = centres.agg(F.sum("members")).first()[0] or 0
+        star = join_groups(open_members, centres, ["key"], "members", total).where(F.col("rep") != F.col("c"))
         sims = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
         labels = components(sims.where("link"))
         known = star.withColumnRenamed("to", "before").join(sims.select("a", "b", "to"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
         known = known.select("key", "rep", "n", "crowd", F.concat("before", F.array("to")).alias("to"))
-        named = stored(known.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
+        named = stored(known.join(few(labels), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
         own, still = able(between(named), centres.select(F.col("c").alias("_id")), own)
         pairs = still.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").cast("long").alias("pairs"))
         left = pairs.agg(F.sum("pairs")).first()[0] or 0
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if labels is None:
         of_class = of_class.withColumn("label", F.col("rep"))
     else:
-        of_class = of_class.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        of_class = of_class.join(few(labels), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     n_filled = classes.agg(F.sum("size")).first()[0] or 0
     grouped = salted_join(filled.select("_id", "n", "digest"), of_class.select("digest", "size", "label"), ["digest"], "size", n_filled)
     alone = sketches.where("n = 0").select("_id", "n", F.col("_id").alias("label"))
