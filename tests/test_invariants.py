@@ -7,7 +7,7 @@ from tabvet.operators import duplicates as D
 from tabvet.operators import report as RP
 from tabvet.operators.validate import render, validate
 
-from .conftest import SF_MID
+from .conftest import SF_MID, SF_SMALL
 
 
 def test_summary_adds_up_and_counts_match(spark, accounts):
@@ -120,6 +120,17 @@ def test_counts_keep_their_order_for_large_row_numbers(spark):
     assert [(r["label"], r["n"], r["first_row"] - base, r["first_pos"]) for r in got] == [("Name contains invalid characters", 6, 3, 1), ("Email missing @ symbol", 3, 3, 0), ("Duplicate email", 2, 5, 0)] or got[0]["first_row"] == base + 3
 
 
+def test_error_report_does_not_copy_the_rule_set_into_a_filter(spark, accounts):
+    """A size filter inferred from the explode held every rule: 0.6 MB of plan, and no end once the report was filtered."""
+    from tabvet.catalog import QUERIES
+
+    report = RP.error_report(validate(accounts, "PE", "bulk"))
+    assert len(report._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    errors = [r for r in report.collect() if r["error_type"] == "personalid is required for Spanish residents"]
+    got = QUERIES["rule_conditional_required"](spark, SF_SMALL).collect()
+    assert len(got) > 0 and sorted(r["row_number"] for r in got) == sorted(r["row_number"] for r in errors)
+
+
 def test_separators_are_white_space_as_in_python(spark):
     from tabvet.functions import rules as R
 
