@@ -131,6 +131,16 @@ def test_error_report_does_not_copy_the_rule_set_into_a_filter(spark, accounts):
     assert len(got) > 0 and sorted(r["row_number"] for r in got) == sorted(r["row_number"] for r in errors)
 
 
+def test_required_errors_are_those_of_the_whole_report(spark, accounts):
+    """The filter on field and type is planned within the driver's memory, and loses no error."""
+    from tabvet.catalog import QUERIES
+
+    query = QUERIES["rule_required"](spark, SF_SMALL)
+    assert len(query._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    errors = [(r["row_number"], r["field_name"]) for r in RP.error_report(validate(accounts, "DEFAULT", "bulk")).collect() if r["error_type"] == r["field_name"] + " is required but missing"]
+    assert len(errors) > 0 and sorted(tuple(r)[:2] for r in query.collect()) == sorted(errors)
+
+
 def test_separators_are_white_space_as_in_python(spark):
     from tabvet.functions import rules as R
 
