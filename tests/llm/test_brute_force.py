@@ -157,3 +157,27 @@ def test_pieces_of_the_query_against_the_library(spark):
         want |= {(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
     got = Q.op6_best_fit_packing(spark, SF_SMALL).select("doc_id", "piece", "start", F.col("length"), "ids_crc32").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_words_with_marks_take_no_part_each_and_match_the_library(monkeypatch):
+    """Distinct parts of a batch are looked up by word and marks; odd texts beside them change nothing."""
+    from tokenizers import Tokenizer
+
+    from tabvet.llm import tokens as T
+
+    calls, part = [], T.Encoder.part
+    monkeypatch.setattr(T.Encoder, "part", lambda self, p, lead: calls.append(p) or part(self, p, lead))
+    words, marks = [f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}é" for k in range(60)], ["", ".", ",", "!!", "%%%", ".,", "??"]
+    texts = [" ".join(w + m for w in words[k:] for m in marks) + ("\n" + words[k] + ".\nEnd" if k % 3 else "") for k in range(40)]
+    enc, library = T.Encoder(T.vocabulary(), 2, special=True), Tokenizer.from_file(T.vocabulary())
+
+    def whole(t):
+        return np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()
+
+    assert enc.encode(texts) == [whole(t) for t in texts]
+    assert len(calls) <= 2 * len(texts)  # a first word each; before, each of the 420 parts too
+    odd = ["", " ", "a  b c.", " lead", "trail ", "x\n\ny z", "\nq r", "q r\n", "tab\tin it", "42 4x2, ñ. y", "...", "a ... b", "a\r\nb c", "日本語 テスト。 x", "𝔘𝔫 ít", *T.Encoder(T.vocabulary(), 2).added, "mid <|endoftext|> end"]
+    assert enc.encode(odd + texts[:2] + odd) == [whole(t) for t in odd + texts[:2] + odd]
+    monkeypatch.setattr(T, "ARROW_CHARS", 10)
+    assert enc.encode(odd + texts[:2]) == [whole(t) for t in odd + texts[:2]]
+    assert enc.encode([]) == []
