@@ -30,3 +30,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("rep", "label")
         if step.where("label <> old").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``rep, label`` after more ``links(a, b)``, from the written ``labels`` of those before.
+
+    A component stands as one end, so links inside it take no part any more, and many links
+    between two components are one.  An end that had no link before is its own component.
+    """
+    for x in "ab":
+        own = few(labels).select(F.col("rep").alias(x), F.col("label").alias("_label"))
+        links = links.join(own, x, "left").withColumn(x, F.coalesce("_label", x)).drop("_label")
+    above = components(stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "joined"))
+    known = few(above).select(F.col("rep").alias("label"), F.col("label").alias("above"))
+    old = labels.join(known, "label", "left").select("rep", F.coalesce("above", "label").alias("label"))
+    return stored(old.unionByName(above.join(few(labels), "rep", "left_anti")), "labels", rows=labels.count() + above.count())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import few, join_groups, one_row_per_text, outer_id, salted_join, with_ids
-from .links import components
+from .links import components, joined
 from .words import mix, word_hashes
 
 BINS, ROWS = 128, 4
@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     n_open = sets.count()
     labels, sims = None, None
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """Distance and link of ``pairs(a, b)`` on full sets; earlier results are kept."""
+    def check(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Distance and link of ``pairs(a, b)`` on full sets, with the earlier results, and the new links."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if sims is not None:
             pairs = pairs.join(sims, ["a", "b"], "left_anti")
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         shared = two.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("total"))
         union = F.col("total") - F.col("i")
         new = stored(shared.select("a", "b", F.struct((1 - F.col("i") / union).alias("d"), F.col("i").cast("long").alias("i")).alias("to"), (F.col("i") * 100 >= union * percent).alias("link")), "sims")
-        return new if sims is None else sims.unionByName(new)
+        return new if sims is None else sims.unionByName(new), new.where("link").select("a", "b")
 
     def fits(a: str, b: str):
         """Sets of these sizes can be similar enough."""
@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                          .select("key", "members", F.col("c.rep").alias("c"), F.col("c.n").alias("nc")), "centres", n_members)
         total = n_members = centres.agg(F.sum("members")).first()[0] or 0
         star = join_groups(open_members, centres, ["key"], "members", total).where(F.col("rep") != F.col("c"))
-        sims = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
-        labels = components(sims.where("link"))
+        sims, links = check(star.where(fits("n", "nc")).select(F.col("rep").alias("a"), F.col("c").alias("b")))
+        labels = components(links) if labels is None else joined(labels, links)
         known = star.withColumnRenamed("to", "before").join(sims.select("a", "b", "to"), (F.least("rep", "c") == F.col("a")) & (F.greatest("rep", "c") == F.col("b")), "left")
         known = known.select("key", "rep", "n", "crowd", F.concat("before", F.array("to")).alias("to"))
         named = stored(known.join(few(labels), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
@@ -251,8 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             first = F.array_min(F.array_intersect("open", "open_b")) == F.col("key")
             possible = fits("n", "nb") & reaches(F.least("own", "ob"), F.col("n"), F.col("nb")) & ~F.coalesce(apart, F.lit(False))
             both = one.withColumnRenamed("rep", "a").join(other, ["key", "left_part", "right_part"]).where((F.col("label") < F.col("lb")) & possible & first)
-            sims = check(both.select("a", "b"))
-            labels = components(sims.where("link"))
+            labels = joined(labels, check(both.select("a", "b"))[1])
             break
         open_members, before = still.select("key", "rep", "n", "crowd", "to"), left
 

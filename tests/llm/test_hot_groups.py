@@ -133,3 +133,41 @@ def test_columns_named_as_inner_ones(spark, tmp_path):
         assert left.columns == docs.columns and 0 < left.count() <= n and left.first()["_row"] == 1, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert P.pack_sequences(spark, docs, str(tmp_path)).count() >= n
+
+
+def test_links_inside_components_take_no_part_in_later_joins(spark, monkeypatch):
+    from tabvet.llm import links as L
+
+    rng = np.random.default_rng(8)
+    ends, make = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name, **kw: (ends.append(make(df, name, **kw)) or ends[-1]) if name == "ends" else make(df, name, **kw))
+    all_links, labels, sizes = [], None, []
+    # a first star of 300, then its 20,000 pairs, then links of it to others, new ones among them
+    rounds = [[(1, k) for k in range(2, 301)] + [(400, 401), (500, 501)], [tuple(x) for x in rng.integers(1, 301, (20_000, 2)).tolist() if x[0] != x[1]] + [(401, 500)],
+              [(int(k), 501) for k in rng.integers(1, 301, 500)] + [(900, 0), (901, 902)], [(902, 902), (1, 300)]]
+    for new in rounds:
+        more = spark.createDataFrame(new, "a long, b long")
+        labels = components(more) if labels is None else L.joined(labels, more)
+        sizes.append(ends[-1].count())
+        all_links += new
+        want = dict(tuple(r) for r in components(spark.createDataFrame(all_links, "a long, b long")).collect())
+        ends.pop()
+        got = [tuple(r) for r in labels.collect()]
+        assert dict(got) == want and len(got) == len(want)
+    assert sizes[0] > 600 and max(sizes[1:]) <= 12
+
+
+def test_later_links_are_joined_to_components(spark, monkeypatch):
+    """The components of all links, of which a dense group has many, are not made anew in each round."""
+    monkeypatch.setattr(M, "PAIRS_PER_DOC", 10**6)  # the rest of the first star as pairs
+    seen, of = [], M.components
+    monkeypatch.setattr(M, "components", lambda links: seen.append(links.count()) or of(links))
+    rng = np.random.default_rng(12)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for _ in range(80):
+        words = list(base)
+        for p in rng.integers(0, 120, rng.integers(0, 9)):
+            words[p] = f"x{rng.integers(0, 4)}"
+        texts.append(" ".join(words))
+    near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(seen) == 1 and seen[0] > 0
