@@ -32,7 +32,9 @@ from .common import one_row_per_text, partitions, stored, with_ids
 from .words import _powers, mix
 
 LENGTH, LEAD = 100, 16
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 250_000
+#: Windows compared at a time; a run of equal leads may have many more.
+WINDOWS = 250_000
 _SMALL = 4096
 _UP, _UP2 = 0x9DDFEA08EB382D69, 0xB492B66FBE98F273
 
@@ -158,9 +160,8 @@ def _compare_contexts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (kind, lead0, lead1, ctx, ids, span)], names=["kind", "lead0", "lead1", "ctx", "_id", "span"])
 
 
-def _windows(lead_rows, bodies: list[bytes], span: np.ndarray):
+def _windows(lead_rows, bodies: list[bytes], lo: np.ndarray, hi: np.ndarray):
     """Every window of the contexts: its row, its two hashes, its start."""
-    lo, hi = _back(span)
     n = hi - lo + 1
     data = np.frombuffer(b"".join(bodies), np.uint8)
     base = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
@@ -171,6 +172,19 @@ def _windows(lead_rows, bodies: list[bytes], span: np.ndarray):
     return lead_rows[row], hashes[0], hashes[1], lo[row] + step, row
 
 
+def _bands(span: np.ndarray):
+    """Rows with their first and last window, about WINDOWS windows at a time.  Equal windows have
+    their anchor at the same place, so where runs are long each band of places is compared alone."""
+    lo, hi = _back(span)
+    at, far = span >> 16, int(((span >> 8) & 255).max())
+    step = max(1, (far + 1) * WINDOWS // int((hi - lo + 1).sum()))
+    for place in range(0, far + 1, step):
+        a, z = np.maximum(lo, at - (place + step - 1)), np.minimum(hi, at - place)
+        rows = np.flatnonzero(a <= z)
+        if len(rows):
+            yield rows, a[rows], z[rows]
+
+
 def _compare_windows(batches):
     import pyarrow as pa
 
@@ -181,20 +195,22 @@ def _compare_windows(batches):
     order = multikey_quicksort([lead0, lead1, ids, span])
     lead0, lead1, ids, span = lead0[order], lead1[order], ids[order], span[order]
     run, edge = _runs(lead0, lead1)
-    bodies = cols[4]
     cuts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    # whole runs at a time, about 1 MB of text; a longer run is taken as one
+    # whole runs at a time, about 0.3 MB of text; of a longer run some places at a time
     at = 0
     while at < len(run):
-        end = int(np.searchsorted(cuts, at + 8_000, side="left"))
+        end = int(np.searchsorted(cuts, at + 2_000, side="left"))
         end = int(cuts[end]) if end < len(cuts) else len(run)
         some = slice(at, end)
-        of_run, w0, w1, start, row = _windows(run[some], [bodies[int(i)].as_py() for i in order[some]], span[some])
-        first = _first(of_run, [w0, w1])
-        on_edge, doc = edge[some][row], ids[some][row]
-        kind = np.where(first, EDGE, WHOLE).astype(np.int32)
-        keep = ~first | on_edge
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (kind, w0, w1, doc, start)], names=["kind", "w0", "w1", "_id", "start"])
+        bodies, starts = cols[4].take(pa.array(order[some])).to_pylist(), _back(span[some])[0]
+        for rows, lo, hi in _bands(span[some]):
+            texts = [bodies[i][x : y + LENGTH] for i, x, y in zip(rows.tolist(), (lo - starts[rows]).tolist(), (hi - starts[rows]).tolist())]
+            of_run, w0, w1, start, row = _windows(run[some][rows], texts, lo, hi)
+            first = _first(of_run, [w0, w1])
+            on_edge, doc = edge[some][rows][row], ids[some][rows][row]
+            kind = np.where(first, EDGE, WHOLE).astype(np.int32)
+            keep = ~first | on_edge
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (kind, w0, w1, doc, start)], names=["kind", "w0", "w1", "_id", "start"])
         at = end
 
 

@@ -171,3 +171,37 @@ def test_later_links_are_joined_to_components(spark, monkeypatch):
         texts.append(" ".join(words))
     near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert len(seen) == 1 and seen[0] > 0
+
+
+def test_a_long_run_is_compared_some_places_at_a_time(spark, monkeypatch):
+    """Many texts around one common passage: one run of leads, in bounded pieces, with the same bytes removed."""
+    import pyarrow as pa
+
+    from tabvet.llm import suffix as S
+
+    rng = np.random.default_rng(3)
+    line = bytes(rng.integers(97, 123, 140).astype(np.uint8))
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    texts = [noise(int(rng.integers(0, 90))) + line[: int(rng.integers(60, 141))] + noise(int(rng.integers(10, 120))) for _ in range(400)]
+    of, lead0, lead1, ctx, span = S.anchored(texts)
+    lo, hi = S._back(span)
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in (lead0, lead1, of, span)), pa.array([texts[k][a : z + S.LENGTH] for k, a, z in zip(of.tolist(), lo.tolist(), hi.tolist())], pa.binary())],
+                                       names=["lead0", "lead1", "_id", "span", "body"])
+    windows, sizes = S._windows, []
+    monkeypatch.setattr(S, "_windows", lambda *a: (lambda out: sizes.append(len(out[0])) or out)(windows(*a)))
+    rows = lambda: sorted(r for b in S._compare_windows([batch]) for r in zip(*(c.to_pylist() for c in b.columns)))
+    want, whole = rows(), max(sizes)
+    sizes.clear()
+    monkeypatch.setattr(S, "WINDOWS", 500)
+    assert rows() == want and len(want) > 1000
+    assert whole > 5000 and max(sizes) < 1000
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in S.repeated_strings(spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)).collect()}
+    seen = set()
+    for k, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - S.LENGTH + 1):
+            w = t[p : p + S.LENGTH]
+            if w in seen:
+                gone[p : p + S.LENGTH] = True
+            seen.add(w)
+        assert got[k] == (int(gone.sum()), np.frombuffer(t, np.uint8)[~gone].tobytes())
