@@ -22,6 +22,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _strings(a) -> list[str]:
+    """An Arrow array of strings as a list; ``to_pylist`` makes a scalar of each first."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes.
 
@@ -84,20 +89,27 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return b"".join([self.raw[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
-    def _distinct(self, parts: list[str]) -> list[bytes | None]:
-        """``part`` of distinct parts after a space."""
-        first, spaced = self.words
-        rest, marks, out = self.parts[1], self.marks, []
-        for p in parts:
-            head = p.rstrip(MARKS)
-            ids = spaced[head]
-            if ids is None:
-                ids = self._lines(p) if "\n" in p else rest[p]
-            elif len(head) < len(p):
-                tail = p[len(head) :]
-                ids += marks[tail] if tail in marks else self._marks(tail)
-            out.append(ids)
-        return out
+    def _distinct(self, parts) -> list[bytes | None]:
+        """``part`` of distinct parts after a space, an Arrow array: a word is looked up once, whatever marks follow it."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        heads = pc.utf8_rtrim(parts, MARKS)
+        coded = heads.dictionary_encode()
+        spaced, rest, marks = self.words[1], self.parts[1], self.marks
+        found = np.empty(len(coded.dictionary), object)
+        found[:] = [spaced[w] for w in _strings(coded.dictionary)]
+        out = found[coded.indices.to_numpy()]
+        none = np.equal(out, None).astype(bool)
+        cut = pc.binary_length(parts).to_numpy() > pc.binary_length(heads).to_numpy()
+        rows = np.flatnonzero(cut & ~none)
+        for k, p, n in zip(rows.tolist(), _strings(parts.take(rows)), pc.utf8_length(heads).to_numpy()[rows].tolist()):
+            tail = p[n:]
+            out[k] += marks[tail] if tail in marks else self._marks(tail)
+        rows = np.flatnonzero(none)
+        for k, p in zip(rows.tolist(), _strings(parts.take(rows))):
+            out[k] = self._lines(p) if "\n" in p else rest[p]
+        return out.tolist()
 
     def _lines(self, p: str) -> bytes | None:
         """``part`` after a space, of words with line breaks between."""
@@ -137,7 +149,7 @@ class Encoder:
         split = pc.split_pattern(pa.array(texts, pa.string()), " ")
         coded = split.values.dictionary_encode()
         begin = split.offsets.to_numpy()
-        ids = self._distinct(coded.dictionary.to_pylist())
+        ids = self._distinct(coded.dictionary)
         ids += [self.part(t.split(" ", 1)[0], "") for t in texts]  # no space before the first
         at = coded.indices.to_numpy().astype(np.int32)
         at[begin[:-1]] = np.arange(len(ids) - len(texts), len(ids), dtype=np.int32)

@@ -181,3 +181,19 @@ def test_words_with_marks_take_no_part_each_and_match_the_library(monkeypatch):
     monkeypatch.setattr(T, "ARROW_CHARS", 10)
     assert enc.encode(odd + texts[:2]) == [whole(t) for t in odd + texts[:2]]
     assert enc.encode([]) == []
+
+
+def test_words_are_looked_up_once_whatever_marks_follow(monkeypatch):
+    """Each part of a batch cost a lookup of its word and a scalar of its own."""
+    from tokenizers import Tokenizer
+
+    from tabvet.llm import tokens as T
+
+    asked, get = [], dict.__getitem__
+    enc, library = T.Encoder(T.vocabulary(), 2, special=True), Tokenizer.from_file(T.vocabulary())
+    monkeypatch.setattr(T.Words, "__getitem__", lambda self, w: asked.append((self.lead, w)) or get(self, w), raising=False)
+    tails = ["", ".", ",", "!", "...", "?!", ":;", "|", "$.", "#"]
+    text = " ".join(["a", *[w + m for w in ("ernd", "señal", "überein", "日本語") for m in tails], "x1.", "q.\nz,", "..."])
+    got = enc.encode([text, text])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*library.encode(text, add_special_tokens=False).ids, 2]] * 2
+    assert [asked.count((" ", w)) for w in ("ernd", "señal", "überein", "日本語")] == [1] * 4
