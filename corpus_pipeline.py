@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabvet.llm import toxicity
-from tabvet.llm.common import NULL_ID, one_document_per_text, stored, table
+from tabvet.llm.common import NULL_ID, few, one_document_per_text, stored, table
 from tabvet.llm.decontaminate import contamination
 from tabvet.llm.exact_dedup import exact_duplicates
 from tabvet.llm.minhash import near_duplicates
@@ -32,12 +32,13 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 def _kept(docs: DataFrame, drop: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One row for each id and text, less the inner keys (as ``doc_id``) that ``drop`` gives for
-    ``doc_id`` (the inner key) and ``text``; all columns of ``docs``."""
+    ``doc_id`` (the inner key) and ``text``; all columns of ``docs``.  While the dropped keys are
+    few they are broadcast, so that whole rows are neither shuffled nor sorted."""
     inner, key, text = _plain(docs)
     rows = one_document_per_text(inner, key, text)
     dropped = drop(rows.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")))
-    ids = dropped.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_dropped")).distinct()
-    return rows.join(ids, rows["_row"] == F.col("_dropped"), "left_anti").drop("_row").toDF(*docs.columns)
+    ids = stored(dropped.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_dropped")).distinct(), "dropped")
+    return rows.join(few(ids), rows["_row"] == F.col("_dropped"), "left_anti").drop("_row").toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_text, partitions, salted_join, stored, with_ids
+from .common import one_row_per_text, partitions, salted_join, sliced, stored, with_ids
 
 #: Deleted before texts are compared.
 WHITE = b" \t\n\x0b\x0c\r"
 COMBINE_BYTES = 24_000_000
 TRIE_BYTES = 96_000_000
+#: Combined texts go on in batches of so many bytes.
+FLUSH_BYTES = 1_000_000
 
 #: Of equal texts the one with the most code points, then the smallest id; and their number.
 Best = tuple[int, int, int]
@@ -157,15 +159,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         size = 0
 
         def flush():
-            keys = list(held)
-            values = list(held.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(k) for k in keys], pa.int32()), pa.array([zlib.crc32(k) for k in keys], pa.int64()), pa.array(keys, pa.binary())]
-                + [pa.array([v[i] for v in values], pa.int64()) for i in range(3)],
-                names=["len", "hash", "body", "chars", "id", "n"],
-            )
+            while held:
+                keys, values, size = [], [], 0
+                while held and size < FLUSH_BYTES:
+                    key, value = held.popitem()
+                    keys.append(key)
+                    values.append(value)
+                    size += len(key) + 200
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(k) for k in keys], pa.int32()), pa.array([zlib.crc32(k) for k in keys], pa.int64()), pa.array(keys, pa.binary())]
+                    + [pa.array([v[i] for v in values], pa.int64()) for i in range(3)],
+                    names=["len", "hash", "body", "chars", "id", "n"],
+                )
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, chars, text in zip(*(c.to_pylist() for c in b.columns)):
                 key, value = text.translate(None, WHITE), (chars, doc, 1)
                 if (old := held.get(key)) is None:
@@ -173,17 +180,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     size += len(key) + 200
                     if size > COMBINE_BYTES:
                         yield from flush()
-                        held, size = {}, 0
+                        size = 0
                 else:
                     held[key] = better(old, value)
-        if held:
-            yield from flush()
+        yield from flush()
 
     def own(batches):
         import pyarrow as pa
 
         trie = Trie()
-        for b in batches:
+        for b in sliced(batches, column=0):
             cols = [c.to_pylist() for c in b.columns]
             for key, *value in zip(*cols):
                 trie.insert(key, tuple(value))
@@ -207,7 +213,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def digests(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             found = [hashlib.sha256(t.translate(None, WHITE)).digest() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["_id", "digest"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import few, join_groups, one_row_per_text, outer_id, salted_join, with_ids
+from .common import few, join_groups, one_row_per_text, outer_id, salted_join, sliced, with_ids
 from .links import components, joined
 from .words import mix, word_hashes
 
@@ -85,22 +85,15 @@ def _sketch(k: int):
     def sketch(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts, at = b.column(1).to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-                    size += len(texts[end]) + 1
-                    end += 1
-                sets = shingle_sets(texts[at:end], k)
-                keys = band_keys(signatures(sets))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, end - at), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
-                    names=["_id", "n", "digest", "keys"],
-                )
-                at = end
+        for b in sliced(batches):
+            sets = shingle_sets(b.column(1).to_pylist(), k)
+            keys = band_keys(signatures(sets))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS), pa.int32()), pa.array(keys.ravel()))],
+                names=["_id", "n", "digest", "keys"],
+            )
 
     return sketch
 
@@ -109,20 +102,11 @@ def _sets(k: int):
     def sets(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts, at = b.column(1).to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-                    size += len(texts[end]) + 1
-                    end += 1
-                found = shingle_sets(texts[at:end], k)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])])
-                flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["_id", "set"]
-                )
-                at = end
+        for b in sliced(batches):
+            found = shingle_sets(b.column(1).to_pylist(), k)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+            flat = np.concatenate(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["_id", "set"])
 
     return sets
 

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Labelled rows of each class that the model learns from, by smallest hash of the id.
 MAX_LABELLED = 20_000
 #: The Dirichlet prior is the corpus itself at this share of its tokens.  A token scores
@@ -18,6 +20,8 @@ PRIOR, LEAST_ODDS, LEAST_Z = 0.1, 2.0, 3.5
 PREFIXES = (8, 7, 6, 5, 4)
 #: What every other token costs; with it the expected score of clean text is below 0.
 DRIFT = -0.02
+#: Bytes of text that are taken at once.
+BATCH_BYTES = 2_000_000
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -128,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     def count(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches, BATCH_BYTES):
             codes, tokens, counts = _tokens(b.column(1))
             once = np.unique(np.repeat(np.arange(len(b)), counts) * max(1, len(tokens)) + codes)
             doc, codes = np.divmod(once, max(1, len(tokens)))
@@ -171,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         import pyarrow as pa
 
         lexicon = pa.array(words)
-        for b in batches:
+        for b in sliced(batches, BATCH_BYTES):
             got = _found(b.column(1), lexicon, values)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([[x for *_, x in f] for _, f in got], pa.list_(pa.float64()))], names=["label", "n", "scores"]
@@ -207,7 +211,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
         m = shared.value
         words, values = pa.array(list(m.scores), pa.string()), np.array(list(m.scores.values()))
         passage = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("score", pa.float64())]))
-        for b in batches:
+        for b in sliced(batches, BATCH_BYTES):
             got = _found(b.column(b.num_columns - 1), words, values)
             logits = np.array([m.line[0] + m.line[1] * math.log1p(statistic(n, f, m.rate, m.scale)) for n, f in got])
             spans = [[{"first_word": i, "n_words": z - i + 1, "score": s} for i, z, s in f if m.rate * s > math.log(max(m.scale * max(n, 1), 1.0))] for n, f in got]
